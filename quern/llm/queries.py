@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import scratch_dir
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import packed
 from .token_count import token_counts
 from .token_output import read_token_files, write_token_files
@@ -41,8 +42,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op9_exact_dedup)
+    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op9_exact_dedup, op10_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
