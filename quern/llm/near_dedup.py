@@ -29,9 +29,9 @@ def sketched(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = RO
         import pyarrow as pa
 
         from . import darts
-        from .words import WordHashes, shingles
+        from .words import shingles, worker_hashes
 
-        hashes = WordHashes()
+        hashes = worker_hashes()
         key_type = pa.int64()
 
         def close(keys: list, content: list, cell: list) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality
 from .common import scratch_dir
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import packed
@@ -44,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), "quality"), threshold=0.7)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -53,7 +58,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op5_quality, op9_exact_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op5_quality, op7_decontamination, op9_exact_dedup, op10_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

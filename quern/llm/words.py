@@ -39,3 +39,11 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     for i in range(width):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n] + _GOLDEN
     return out
+
+
+_worker = WordHashes()
+
+
+def worker_hashes() -> WordHashes:
+    """The hashes that the tasks of one Python worker share."""
+    return _worker
