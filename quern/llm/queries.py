@@ -12,6 +12,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import packed
+from .suffix_dedup import repeats_removed
 from .token_count import token_counts
 from .token_output import read_token_files, write_token_files
 
@@ -40,6 +41,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(_table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), "quality"), threshold=0.7)
@@ -58,7 +63,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op5_quality, op7_decontamination, op9_exact_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op4_suffix_dedup, op5_quality, op7_decontamination, op9_exact_dedup, op10_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
