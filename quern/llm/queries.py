@@ -10,6 +10,7 @@ from . import quality
 from .common import scratch_dir
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
+from .html_extract import extracted
 from .near_dedup import near_duplicates
 from .packing import packed
 from .suffix_dedup import repeats_removed
@@ -50,6 +51,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), "quality"), threshold=0.7)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -63,7 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op4_suffix_dedup, op5_quality, op7_decontamination, op9_exact_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op4_suffix_dedup, op5_quality, op6_html_extraction, op7_decontamination, op9_exact_dedup, op10_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
