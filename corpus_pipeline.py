@@ -1,8 +1,69 @@
-"""The training-data pipeline (under construction)."""
+"""A training-data pipeline over documents: quality, exact and near copies, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes all rows that its predecessor kept and is written before the next one reads it. All
+stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import quality
+from quern.llm.common import written
+from quern.llm.decontaminate import contaminated
+from quern.llm.exact_dedup import deduplicated
+from quern.llm.near_dedup import near_duplicates
+from quern.llm.packing import packed
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose quality score is below 0.7. Labels of held-out ids aren't learned from."""
+    return quality.kept(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), "quality"), threshold=0.7)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row of smallest doc_id of texts that are equal but for the case of A-Z."""
+    return deduplicated(docs, keep="smallest")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each class of near copies (five-word shingles, similarity 0.8)."""
+    dropped = near_duplicates(docs, threshold=0.8, width=5).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of up to 2048 tokens, a row per piece."""
+    import public_tokenizers
+
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Scores, sketches and latent retrieval aren't SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

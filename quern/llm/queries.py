@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import licenses, quality
 from .common import scratch_dir
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
@@ -59,6 +59,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -68,12 +72,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op4_suffix_dedup, op5_quality, op6_html_extraction, op7_decontamination, op9_exact_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_token_files, op2_token_counts, op3_packing, op4_suffix_dedup, op5_quality, op6_html_extraction, op7_decontamination, op8_license_scan, op9_exact_dedup, op10_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_license_scan": licenses.oracle_sql(),
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
