@@ -12,6 +12,8 @@ from .graph import components
 
 #: 32 bands of 7 coordinates: a pair of similarity 0.8 shares a band with probability 0.9994, one of 0.5 with 0.22.
 BANDS, ROWS = 32, 7
+#: Documents of a bucket that are compared with as many others at a time, about.
+BLOCK = 256
 SKETCH = "doc_id long, content binary, n_cells long, bands array<long>, cells binary"
 
 
@@ -96,8 +98,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     class. An empty table gives no rows.
 
     Within a band's bucket pairs aren't expanded: every member is first compared with the bucket's least
-    document, then, where a bucket still has members of several classes, with its greatest one; what is
-    still apart is compared with the members of other classes only, so no link between classes is lost.
+    document; where a bucket still holds several classes, all members outside its largest class are
+    compared with all members in blocks, so no link between classes is lost.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -109,21 +111,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     reps = sketches.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     cells = sketches.select("doc_id", "n_cells", "cells").dropDuplicates(["doc_id"])
     member = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest")
+    shared = member.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").drop("greatest")
     buckets = written(member.join(shared, "bucket"))
 
-    links = written(_similar(buckets.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), cells, threshold))
+    stars = buckets.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = written(_similar(stars, cells, threshold))
     labels = written(components(links))
-    apart = _apart(buckets, labels)
-    more = _similar(apart.where("doc_id <> greatest and class <> greatest_class").select(F.col("doc_id").alias("a"), F.col("greatest").alias("b")).distinct(), cells, threshold)
-    links = links.unionByName(written(more))
-    labels = written(components(links))
-    apart = _apart(apart.select("bucket", "doc_id", "least", "greatest"), labels)
-    sizes = apart.groupBy("bucket", "class").count().groupBy("bucket").agg(F.max_by("class", "count").alias("main"))
-    odd = apart.join(sizes, "bucket").where("class <> main").select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a"), "main")
-    other = apart.select("bucket", F.col("doc_id").alias("b"), "class")
-    rest = odd.join(other, "bucket").where("class <> class_a and (class = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels = written(components(links.unionByName(written(_similar(rest, cells, threshold)))))
+    apart = _apart(buckets.select("bucket", "doc_id"), labels)
+    labels = written(components(links.unionByName(written(_across(apart, cells, threshold)))))
 
     classes = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
     # A repeated id whose rows have different words belongs to the least class of these.
@@ -137,5 +132,45 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their classes, of the buckets that still hold several."""
     label = labels.select(F.col("node").alias("doc_id"), "component")
     named = buckets.join(label, "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
-    mixed = named.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.max_by("class", "doc_id").alias("greatest_class")).where("c0 < c1")
-    return written(named.join(mixed.drop("c0", "c1"), "bucket"))
+    mixed = named.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("bucket")
+    return written(named.join(mixed, "bucket"))
+
+
+def _across(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that share a bucket: ``b`` is the class that document ``a`` has a link into.
+
+    The documents outside a bucket's largest class are compared with all its members, a block of about
+    BLOCK with another at a time, as products of two 0/1 matrices over the cells that both blocks have.
+    """
+    sizes = apart.groupBy("bucket", "class").count().groupBy("bucket").agg(F.max_by("class", "count").alias("main"), F.ceil(F.sum("count") / BLOCK).alias("blocks"))
+    # The bucket itself is part of the hash, so that buckets' blocks differ.
+    block = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).alias("block")
+    member = apart.join(sizes, "bucket").join(cells, "doc_id").select("bucket", block, "main", F.struct("doc_id", "class", "cells").alias("m"))
+    gathered = lambda rows, name: rows.groupBy("bucket", "block").agg(F.collect_list("m").alias(name)).drop("block")
+    pairs = gathered(member.where("m.class <> main"), "odd").join(gathered(member, "all"), "bucket").select("odd", "all")
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def dense(sets: list, common) -> np.ndarray:
+            out = np.zeros((len(sets), len(common)), np.float32)
+            for i, x in enumerate(sets):
+                out[i, np.searchsorted(common, np.intersect1d(x, common, assume_unique=True))] = 1
+            return out
+
+        for batch in batches:
+            for odd, every in zip(batch.column(0), batch.column(1)):
+                odd, every = odd.as_py(), every.as_py()
+                x, y = ([np.frombuffer(m["cells"], "<u4") for m in side] for side in (odd, every))
+                common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+                shared = np.zeros((len(x), len(y)), np.float32)
+                for at in range(0, len(common), 8192):
+                    some = common[at : at + 8192]
+                    shared += dense(x, some) @ dense(y, some).T
+                total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])
+                i, j = np.nonzero(shared >= threshold * (total - shared))
+                edges = {(odd[a]["doc_id"], every[b]["class"]) for a, b in zip(i.tolist(), j.tolist()) if odd[a]["class"] != every[b]["class"]}
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long")
