@@ -1,7 +1,533 @@
-"""The library's queries and their SQL twins."""
+"""The library's queries over the driver's tables, and their SQL twins.
+
+Constants (dates, limits, page sizes) are parameters of the queries and the same in the twins.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import paths
+from ..functions.time import retry_delay
+from ..operators import files as fl, projection as pj, quota as qt, reconcile as rc, statistics as st, watch as wt
+from ..schema import DIMENSIONS, TOTALS
+from .views import Twin, twin, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "projection_fold"
+
+NOW, FROM, TO, STATS_NOW = "1997-01-01 00:00:00", "2024-01-05 00:02:00", "2024-01-20 00:00:00", "2024-01-25 00:00:00"
+SPAN = 15 * 86400 - 120.0
+_D = ", ".join(DIMENSIONS)
+
+
+def _ts(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def query(*views: str, sql: str | None = None):
+    """Registers a query over ``views``, which it gets as DataFrames, and its twin."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
+        if sql is not None:
+            text = sql.strip()
+            ORACLE_SQL[f.__name__] = twin(*views) + (", " + text[5:] if text.startswith("WITH ") else " " + text)
+        return f
+
+    return register
+
+
+# --- statistics -------------------------------------------------------------------------------------
+
+
+def _cells(width: int = 300, dims: tuple[str, ...] = DIMENSIONS) -> str:
+    kept = ", ".join(d if d in dims else f"NULL::VARCHAR AS {d}" for d in DIMENSIONS)
+    return f"""WITH c AS (SELECT bucket_start, name, {_D}, cast(sum(value) AS BIGINT) AS value FROM (
+        SELECT time_bucket(INTERVAL '{width} seconds', ts, TIMESTAMP '0001-01-01') AS bucket_start, name, value, {kept} FROM measurements WHERE value <> 0 AND trim(name) <> '') GROUP BY ALL)"""
+
+
+_OVERLAP = f"WHERE bucket_start + INTERVAL '300 seconds' > TIMESTAMP '{FROM}' AND bucket_start < TIMESTAMP '{TO}'"
+
+
+@query("measurements", sql=_cells() + " SELECT * FROM c")
+def stats_buckets(m):
+    return st.recorded(m)
+
+
+@query("measurements", sql=_cells(420) + " SELECT * FROM c")
+def stats_offset_window_7min(m):
+    return st.recorded(m, 420)
+
+
+@query("measurements", sql=_cells(dims=("volume_id",)) + f" SELECT name, {_D}, cast(sum(value) AS BIGINT) AS value FROM c {_OVERLAP} GROUP BY name, {_D}")
+def stats_dimension_disabled(m):
+    return st.snapshot_measurements(st.overlapping(st.recorded(m, dimensions=("volume_id",)), _ts(FROM), _ts(TO)))
+
+
+@query("measurements", sql=_cells() + f" SELECT name, {_D}, cast(sum(value) AS BIGINT) AS value FROM c {_OVERLAP} AND tenant_id = 'tenant-003' GROUP BY name, {_D}")
+def stats_snapshot_measurements(m):
+    return st.snapshot_measurements(st.overlapping(st.recorded(m), _ts(FROM), _ts(TO), tenant_id="tenant-003", volume_id=None, operation=""))
+
+
+_TOTALS = ", ".join(f"cast(coalesce(sum(value) FILTER (name = '{m}'), 0) AS BIGINT) AS {t}" for t, m in TOTALS.items())
+
+
+@query("measurements", sql=_cells() + f", t AS (SELECT {_TOTALS} FROM c {_OVERLAP}) SELECT *, write_bytes / 1024 / 1024 / {SPAN}::DOUBLE AS write_megabytes_per_second FROM t")
+def stats_snapshot_totals(m):
+    return st.snapshot_totals(st.overlapping(st.recorded(m), _ts(FROM), _ts(TO)), SPAN)
+
+
+@query("measurements", sql=_cells() + f", t AS (SELECT volume_id, cast(sum(value) AS BIGINT) AS write_bytes FROM c {_OVERLAP} AND name = 'storage.write.bytes' GROUP BY volume_id) SELECT *, write_bytes / 1024 / 1024 / {SPAN}::DOUBLE AS write_megabytes_per_second FROM t")
+def stats_rate_by_volume(m):
+    return st.rates(st.overlapping(st.recorded(m), _ts(FROM), _ts(TO)), SPAN, "volume_id")
+
+
+@query("measurements", sql=_cells() + f" SELECT * FROM c WHERE bucket_start >= TIMESTAMP '{STATS_NOW}' - INTERVAL '{7 * 86400 + 300} seconds'")
+def stats_retention_prune(m):
+    return st.pruned(st.recorded(m), _ts(STATS_NOW), 7 * 86400)
+
+
+@query("measurements", sql=f"""WITH k AS (SELECT *, time_bucket(INTERVAL '300 seconds', ts, TIMESTAMP '0001-01-01') AS bucket_start FROM measurements WHERE value <> 0 AND trim(name) <> ''),
+    s AS (SELECT bucket_start, name, {_D}, min(arrival) AS first, cast(sum(value) AS BIGINT) AS value FROM k GROUP BY bucket_start, name, {_D}) SELECT bucket_start, name, {_D}, value FROM s ORDER BY first LIMIT 1024""")
+def stats_series_cap(m):
+    return st.capped(m, 1024)
+
+
+@query("measurements", sql="SELECT operation, count(*) AS batches, count(*) FILTER (value = 1) AS single_batches, count(*) FILTER (value > 1) AS multi_batches, cast(sum(value) AS BIGINT) AS records, max(value) AS largest FROM measurements GROUP BY operation")
+def stats_operation_log(m):
+    return st.operation_log_totals(m)
+
+
+# --- journal and projection -------------------------------------------------------------------------
+
+
+def _normal(p: str) -> str:
+    return f"""CASE WHEN trim(coalesce({p}, '')) = '' THEN '/' ELSE '/' || array_to_string(list_reduce(list_filter(string_split(replace({p}, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'),
+        lambda a, x: CASE WHEN x = '..' THEN a[:-2] ELSE list_append(a, x) END, []::VARCHAR[]), '/') END"""
+
+
+def _folded(where: str = "true", copies: int = 1) -> str:
+    item = Twin.struct({c: c for c in ["sequence_number", "phase", *pj.EVENT_COLUMNS[1:]]})
+    phases = ", ".join(str(x) for x in range(2 * copies))
+    return f"""WITH twice AS (SELECT *, {_normal("directory_path")} AS directory, unnest([{phases}]) AS step FROM journal WHERE {where}),
+      grouped AS (SELECT tenant_id, file_key, list({item} ORDER BY sequence_number, step) AS events FROM (SELECT *, step % 2 AS phase FROM twice) GROUP BY tenant_id, file_key),
+      folded AS (SELECT tenant_id, file_key, {pj.fold(Twin)} AS state FROM grouped)"""
+
+
+_ROW = ", ".join(f"state.{c} AS {c}" for c in pj.ROW)
+_FILES = f"SELECT tenant_id, file_key, {_ROW} FROM folded WHERE state.alive"
+
+
+@query("journal", sql=f"{_folded()} {_FILES}")
+def projection_fold(j):
+    return pj.projected_files(j)
+
+
+@query("journal", sql=f"{_folded()} SELECT tenant_id, state.status AS status, count(*) AS n, cast(sum(state.file_size) AS BIGINT) AS bytes, count(*) FILTER (state.status IN (0, 1, 2, 3, 4, 5)) AS active FROM folded WHERE state.alive GROUP BY tenant_id, state.status")
+def projection_status_counts(j):
+    return fl.status_counts(pj.projected_files(j))
+
+
+@query("journal", sql=f"{_folded(copies=2)} {_FILES}")
+def projection_duplicate_delivery(j):
+    """Every event delivered twice in place."""
+    return pj.projected_files(j.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sequence_number", F.col("sequence_number") * 2 + F.col("copy")).drop("copy"))
+
+
+@query("journal", sql=f"{_folded()} {_FILES}")
+def projection_snapshot_tail(j):
+    """A snapshot of the first events, and the fold of the rest from there: as a full replay."""
+    return pj.projected_files(j.where("sequence_number > 400"), pj.folded(j.where("sequence_number <= 400")))
+
+
+_STEPS = """, steps AS (SELECT tenant_id, x.seq AS seq, x.directory AS directory_path, x.d AS d FROM (SELECT tenant_id, unnest(state.deltas) AS x FROM folded)),
+  both_ AS (SELECT * FROM steps UNION ALL SELECT tenant_id, seq, tenant_id, d FROM steps)"""
+
+
+@query("journal", sql=f"""{_folded()}{_STEPS} SELECT tenant_id, directory_path, list_reduce(list(d ORDER BY seq, d), lambda a, x: greatest(0, a + x), 0)::BIGINT AS current_count FROM both_ GROUP BY tenant_id, directory_path""")
+def quota_event_sourced(j):
+    return pj.quota_counts(j)
+
+
+@query("journal", sql="SELECT DISTINCT tenant_id FROM journal ORDER BY tenant_id")
+def journal_tenants(j):
+    return j.select("tenant_id").distinct().orderBy("tenant_id")
+
+
+_EVENT = "tenant_id, sequence_number, file_key, event_type, occurred_at"
+
+
+@query("journal", sql=f"SELECT {_EVENT} FROM journal WHERE tenant_id = 'tenant-002' AND sequence_number > 50 ORDER BY sequence_number LIMIT 64")
+def journal_read_batch(j):
+    return j.where("tenant_id = 'tenant-002' and sequence_number > 50").orderBy("sequence_number").limit(64).select(*_EVENT.split(", "))
+
+
+_GAPS = """g AS (SELECT *, max(sequence_number) OVER (PARTITION BY tenant_id ORDER BY sequence_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM journal WHERE sequence_number > 0)"""
+
+
+@query("journal", sql=f"WITH {_GAPS} SELECT tenant_id, last + 1 AS expected_sequence, sequence_number AS observed_sequence FROM g WHERE last > 0 AND sequence_number > last + 1")
+def journal_gap_audit(j):
+    return pj.sequence_gaps(j)
+
+
+@query("journal", sql=f"""WITH {_GAPS}, gaps AS (SELECT tenant_id, max(sequence_number) AS gap_observed, max(last + 1) AS gap_expected FROM g WHERE sequence_number <= 300 AND last > 0 AND sequence_number > last + 1 GROUP BY tenant_id),
+    t AS (SELECT tenant_id, max(sequence_number) AS tail_sequence, max(sequence_number) FILTER (sequence_number <= 300) AS last_projected FROM journal GROUP BY tenant_id)
+    SELECT tenant_id, tail_sequence, last_projected, greatest(0, tail_sequence - coalesce(last_projected, 0)) AS lag, gap_observed IS NOT NULL AS gap_detected, gap_expected, gap_observed FROM t LEFT JOIN gaps USING (tenant_id)""")
+def journal_lag_state(j):
+    return pj.tenant_state(j, 300)
+
+
+@query("journal", sql=f"""WITH bad AS (SELECT tenant_id, min(sequence_number) AS first FROM journal WHERE event_id % 997 = 5 GROUP BY tenant_id)
+    SELECT {_EVENT} FROM journal LEFT JOIN bad USING (tenant_id) WHERE first IS NULL OR sequence_number < first""")
+def journal_corrupt_prefix(j):
+    """Records before a tenant's first bad one; from there on nothing is read."""
+    from ..operators.journal import valid_prefix
+
+    return valid_prefix(j, F.col("event_id") % 997 == 5).select(*_EVENT.split(", "))
+
+
+@query("journal", sql="""WITH o AS (SELECT *, 24 + length(file_key) + length(physical_path) AS bytes FROM journal),
+    c AS (SELECT tenant_id, sequence_number, sum(bytes) OVER (PARTITION BY tenant_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS end_offset, bytes FROM o)
+    SELECT tenant_id, cast(end_offset - bytes AS BIGINT) AS start_offset, cast(end_offset AS BIGINT) AS end_offset, sequence_number FROM c WHERE end_offset > 5000""")
+def journal_compaction(j):
+    """Records behind a processed offset with their logical offsets, which compaction doesn't change."""
+    from ..operators.journal import compacted, with_offsets
+
+    sized = j.withColumn("record_bytes", 24 + F.length("file_key") + F.length("physical_path"))
+    return compacted(with_offsets(sized), 5000).select("tenant_id", "start_offset", "end_offset", "sequence_number")
+
+
+@query("journal", sql="""WITH o AS (SELECT *, 24 + length(file_key) + length(physical_path) AS bytes FROM journal),
+    c AS (SELECT tenant_id, sum(bytes) OVER (PARTITION BY tenant_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS end_offset FROM o)
+    SELECT tenant_id, cast(coalesce(max(end_offset) FILTER (end_offset <= 7777), 0) AS BIGINT) AS normalized_offset FROM c GROUP BY tenant_id""")
+def journal_offset_normalized(j):
+    from ..operators.journal import normalized_offset, with_offsets
+
+    return normalized_offset(with_offsets(j.withColumn("record_bytes", 24 + F.length("file_key") + F.length("physical_path"))), 7777)
+
+
+# --- quotas -----------------------------------------------------------------------------------------
+
+_EXPECTED = f"""WITH a AS (SELECT tenant_id, {_normal("directory_path")} AS directory FROM files WHERE status IN (0, 1, 2, 3, 4, 5)),
+  expected AS (SELECT tenant_id, directory AS directory_path, count(*) AS expected FROM a GROUP BY ALL UNION ALL SELECT tenant_id, tenant_id, count(*) FROM a GROUP BY tenant_id)"""
+
+
+@query("files", sql=_EXPECTED + " SELECT * FROM expected")
+def quota_expected_dirs(f):
+    return qt.expected_counts(f)
+
+
+@query("files", "quotas", sql=_EXPECTED + """ SELECT tenant_id, directory_path, coalesce(expected, 0) AS expected, coalesce(current_count, 0) AS current, coalesce(max_count, 0) AS max_count,
+    CASE WHEN coalesce(expected, 0) = 0 AND coalesce(max_count, 0) = 0 AND directory_path <> tenant_id THEN 'remove' WHEN current_count IS NULL OR coalesce(expected, 0) <> current_count THEN 'set' ELSE 'keep' END AS action
+    FROM expected FULL JOIN quotas USING (tenant_id, directory_path)""")
+def quota_reconcile_actions(f, q):
+    return qt.reconciled(f, q)
+
+
+@query("quotas", sql="SELECT tenant_id, directory_path, NOT enabled OR max_count = 0 OR current_count + 3 < max_count AS can_add FROM quotas")
+def quota_can_add(q):
+    return qt.can_add(q, F.lit(3))
+
+
+@query("tenants", sql="SELECT tenant_id, cast(coalesce(nullif(tenant_limit, 0), 25) AS BIGINT) AS effective_limit FROM tenants")
+def quota_effective_limit(t):
+    return qt.effective_limits(t, 25)
+
+
+@query("journal", sql="""WITH k AS (SELECT tenant_id AS key, sequence_number AS seq, CASE WHEN event_type IN (1, 2) THEN 'reserve' WHEN event_type IN (4, 5) THEN 'accept' ELSE 'release' END AS kind FROM journal),
+    f AS (SELECT key, list_reduce(list(kind ORDER BY seq), lambda s, x: CASE
+      WHEN x = 'reserve' THEN CASE WHEN s.p + s.r < 40 THEN {'p': s.p, 'r': s.r + 1, 'x': s.x} ELSE {'p': s.p, 'r': s.r, 'x': s.x + 1} END
+      WHEN x = 'accept' THEN {'p': s.p + 1, 'r': greatest(0, s.r - 1), 'x': s.x}
+      WHEN s.r > 0 THEN {'p': s.p, 'r': s.r - 1, 'x': s.x} ELSE {'p': greatest(0, s.p - 1), 'r': s.r, 'x': s.x} END, {'p': 0, 'r': 0, 'x': 0}) AS s FROM k GROUP BY key)
+    SELECT key, s.p AS projected, s.r AS reserved, s.x AS rejected FROM f""")
+def quota_reservations(j):
+    kind = F.when(F.col("event_type").isin(1, 2), "reserve").when(F.col("event_type").isin(4, 5), "accept").otherwise("release")
+    return qt.reservations(j.select(F.col("tenant_id").alias("key"), F.col("sequence_number").alias("seq"), kind.alias("kind")), 40)
+
+
+# --- file table -------------------------------------------------------------------------------------
+
+_F = "tenant_id, file_key, status, file_size, created_at"
+
+
+def _cols(df: DataFrame, names: str) -> DataFrame:
+    return df.select(*names.split(", "))
+
+
+@query("files", sql=f"SELECT {_F} FROM files WHERE tenant_id = 'tenant-005' ORDER BY created_at, file_key OFFSET 10 LIMIT 25")
+def files_by_tenant_page(f):
+    return _cols(fl.page(f, "tenant-005", 10, 25), _F)
+
+
+@query("files", sql=f"SELECT {_F} FROM files WHERE status = 4")
+def files_by_status(f):
+    return _cols(fl.by_status(f, 4), _F)
+
+
+@query("files", sql="SELECT tenant_id, file_key, status, CASE WHEN status IN (0, 1, 3) THEN retry_count + 100 ELSE retry_count END AS retry_count FROM files")
+def files_hot_cold_overlay(f):
+    f = _cols(f, "tenant_id, file_key, status, retry_count")
+    return fl.overlaid(fl.hot(f).withColumn("retry_count", F.col("retry_count") + 100), f)
+
+
+@query("journal", sql="""WITH o AS (SELECT tenant_id, file_key, CASE WHEN event_type = 6 THEN 'Delete' ELSE 'Upsert' END AS op, event_type, sequence_number,
+    row_number() OVER (PARTITION BY tenant_id, file_key ORDER BY sequence_number DESC) AS r FROM journal) SELECT tenant_id, file_key, op, event_type, sequence_number FROM o WHERE r = 1 AND op <> 'Delete'""")
+def files_latest_op(j):
+    ops = j.select("tenant_id", "file_key", F.when(F.col("event_type") == 6, "Delete").otherwise("Upsert").alias("op"), "event_type", "sequence_number")
+    return fl.latest(ops, ["tenant_id", "file_key"], "sequence_number")
+
+
+_READY = f"status = 0 AND (available_at IS NULL OR available_at <= TIMESTAMP '{NOW}')"
+
+
+def _next(k: int) -> str:
+    return f"SELECT {_F}, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, file_key) AS rank FROM files WHERE {_READY}) WHERE rank <= {k}"
+
+
+@query("files", sql=_next(1))
+def sched_next_pending(f):
+    return _cols(fl.next_pending(f, _ts(NOW)), _F + ", rank")
+
+
+@query("files", sql=_next(8))
+def sched_next_batch(f):
+    return _cols(fl.next_pending(f, _ts(NOW), 8), _F + ", rank")
+
+
+@query("files", sql=f"SELECT {_F}, available_at FROM files WHERE status = 0 AND available_at > TIMESTAMP '{NOW}' ORDER BY available_at, created_at, file_key LIMIT 64")
+def sched_delayed_queue(f):
+    return _cols(fl.delayed(f, _ts(NOW), 64), _F + ", available_at")
+
+
+@query("files", sql="SELECT DISTINCT retry_count, least(5.0::DOUBLE * pow(2.0, greatest(0, least(retry_count - 1, 62))), 300.0::DOUBLE) AS delay_seconds FROM files")
+def sched_retry_delay(f):
+    return f.select("retry_count").distinct().withColumn("delay_seconds", retry_delay(F.col("retry_count")))
+
+
+@query("files", sql=f"""SELECT tenant_id, file_key, CASE WHEN retry_count + 1 >= 3 THEN 4 ELSE 0 END AS status, retry_count + 1 AS retry_count,
+    CASE WHEN retry_count + 1 < 3 THEN TIMESTAMP '{NOW}' + to_seconds(least(5.0 * pow(2.0, retry_count), 300.0)) END AS available_at FROM files WHERE status = 1""")
+def sched_fail_transition(f):
+    return _cols(fl.failed_once_more(f, _ts(NOW)), "tenant_id, file_key, status, retry_count, available_at")
+
+
+_LATE = f"status = 1 AND processing_start_time < TIMESTAMP '{NOW}' - INTERVAL 1 DAY"
+
+
+@query("files", sql=f"SELECT tenant_id, file_key, 0 AS status, TIMESTAMP '{NOW}' AS available_at, processing_start_time AS released_lease FROM files WHERE {_LATE}")
+def sched_timeout_recovery(f):
+    return _cols(fl.timed_out(f, _ts(NOW), 86400), "tenant_id, file_key, status, available_at, released_lease")
+
+
+@query("volumes", "files", sql="""WITH v AS (SELECT list({'volume_id': volume_id, 'available_space': available_space} ORDER BY volume_id) AS a FROM volumes WHERE is_healthy AND available_space > 0),
+    r AS (SELECT file_key AS request_id, retry_count + 7 * status + file_size % 1000 AS ticket, list_filter(a, lambda x: x.available_space >= file_size % 400000) AS fit FROM files, v),
+    p AS (SELECT *, fit[1 + ticket % len(fit)] AS x, fit[1 + ((ticket * 1664525 + 1013904223) % 4294967296) % len(fit)] AS y FROM r)
+    SELECT request_id, CASE WHEN len(fit) = 0 THEN NULL WHEN y.available_space > x.available_space THEN y.volume_id ELSE x.volume_id END AS volume_id FROM p""")
+def sched_volume_choice(v, f):
+    return fl.volume_choice(v, f.select(F.col("file_key").alias("request_id"), (F.col("retry_count") + 7 * F.col("status") + F.col("file_size") % 1000).alias("ticket"), (F.col("file_size") % 400000).alias("size")))
+
+
+@query("files", sql=f"SELECT {_F}, completed_at FROM files WHERE status = 2 AND completed_at < TIMESTAMP '{NOW}' AND delete_succeeded_at IS NULL ORDER BY completed_at, file_key LIMIT 500")
+def retention_completed(f):
+    return _cols(fl.retained_until(f, 2, "completed_at", _ts(NOW), undeleted=True, most=500), _F + ", completed_at")
+
+
+@query("files", sql=f"SELECT {_F}, completed_at FROM files WHERE status = 5 AND completed_at < TIMESTAMP '{NOW}'")
+def retention_delete_requested(f):
+    return _cols(fl.retained_until(f, 5, "completed_at", _ts(NOW)), _F + ", completed_at")
+
+
+@query("files", sql=f"SELECT {_F}, last_failed_at FROM files WHERE status = 4 AND last_failed_at < TIMESTAMP '{NOW}' AND last_error <> 'error 4'")
+def retention_permanently_failed(f):
+    blocked = f.where("last_error = 'error 4'").select("file_key")
+    return _cols(fl.retained_until(f, 4, "last_failed_at", _ts(NOW), excluded=blocked), _F + ", last_failed_at")
+
+
+@query("files", sql=f"SELECT {_F}, CASE WHEN status = 5 THEN 0 ELSE 1 END AS priority FROM files WHERE status IN (2, 5) AND delete_succeeded_at IS NULL AND completed_at < TIMESTAMP '{NOW}' ORDER BY priority, completed_at, file_key LIMIT 300")
+def cleanup_priority_batch(f):
+    return _cols(fl.cleanup_batch(f, _ts(NOW), 300), _F + ", priority")
+
+
+_RETIRED = "SELECT volume_id, cast(CASE WHEN volume_id = 'vol-2' THEN 1 ELSE 0 END as int) AS disposition FROM volumes WHERE volume_id IN ('vol-1', 'vol-2')"
+_DUE = f"""WITH a AS (SELECT f.*, CASE WHEN disposition = 1 THEN 'purge_metadata' WHEN disposition = 0 THEN 'blocked: volume kept' WHEN presence = 'unknown' THEN 'blocked: presence unknown'
+    WHEN presence IS NULL OR presence = 'missing' THEN 'converge' ELSE 'delete' END AS action FROM files f LEFT JOIN ({_RETIRED}) r USING (volume_id) LEFT JOIN listing l ON l.tenant_id = f.tenant_id AND l.path = f.physical_path
+    WHERE f.status IN (2, 5) AND f.delete_succeeded_at IS NULL AND f.completed_at < TIMESTAMP '{NOW}')"""
+
+
+def _actions(f, l, v):  # noqa: E741
+    retired = v.where("volume_id in ('vol-1', 'vol-2')").select("volume_id", F.when(F.col("volume_id") == "vol-2", 1).otherwise(0).alias("disposition"))
+    return fl.dispositions(f, l, retired, _ts(NOW))
+
+
+@query("files", "listing", "volumes", sql=_DUE + " SELECT tenant_id, file_key, action FROM a")
+def cleanup_actions(f, l, v):  # noqa: E741
+    return _cols(_actions(f, l, v), "tenant_id, file_key, action")
+
+
+@query("files", "listing", "volumes", sql=_DUE + " SELECT action, count(*) AS n, cast(sum(file_size) AS BIGINT) AS bytes FROM a GROUP BY action")
+def cleanup_disposition_summary(f, l, v):  # noqa: E741
+    return _actions(f, l, v).groupBy("action").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
+
+
+@query("files", sql="SELECT file_key, '/dead/' || tenant_id || '/' || strftime(dead_lettered_at, '%Y%m%d') || '/' || file_key[1:2] || '/' || file_key[3:4] || '/' || file_key || file_extension AS path FROM files WHERE status = 7")
+def dead_letter_paths(f):
+    return f.where("status = 7").select("file_key", paths.dead_letter_path(F.lit("/dead"), F.col("tenant_id"), F.col("dead_lettered_at"), F.col("file_key"), F.col("file_extension")).alias("path"))
+
+
+@query("files", sql=f"""WITH c AS (SELECT tenant_id, file_key, CASE WHEN status % 2 = 0 THEN 'complete' ELSE 'fail' END AS kind, CASE WHEN retry_count % 2 = 0 THEN processing_start_time ELSE TIMESTAMP '1992-01-01' END AS lease FROM files WHERE retry_count < 4
+      UNION ALL SELECT tenant_id, 'none-' || file_key, 'fail', created_at FROM files WHERE retry_count = 4)
+    SELECT c.tenant_id, c.file_key, kind, CASE WHEN status IS NULL THEN CASE WHEN kind = 'complete' THEN 'idempotent' ELSE 'missing' END WHEN status IN (2, 5, 6) THEN 'idempotent'
+      WHEN status = 1 AND processing_start_time = lease THEN 'applied' WHEN kind = 'fail' AND status IN (0, 3, 4) AND last_failed_at >= lease THEN 'idempotent' ELSE 'mismatch' END AS result
+    FROM c LEFT JOIN files USING (tenant_id, file_key)""")
+def lease_classification(f):
+    some = f.where("retry_count < 4").select("tenant_id", "file_key", F.expr("CASE WHEN status % 2 = 0 THEN 'complete' ELSE 'fail' END").alias("kind"), F.when(F.col("retry_count") % 2 == 0, F.col("processing_start_time")).otherwise(_ts("1992-01-01 00:00:00")).alias("lease"))
+    none = f.where("retry_count = 4").select("tenant_id", F.concat(F.lit("none-"), "file_key").alias("file_key"), F.lit("fail").alias("kind"), F.col("created_at").alias("lease"))
+    return fl.lease_result(f, some.unionByName(none))
+
+
+@query("files", sql="SELECT tenant_id, file_key, CASE WHEN retry_count % 2 = 0 AND status IN (2, 5) THEN 'applied' ELSE 'rejected' END AS outcome FROM files")
+def conditional_mark_deleted(f):
+    """Marks deleted what still has the expected completion time; every other command names a wrong one."""
+    commands = f.select("tenant_id", "file_key", F.lit(1).alias("ordinal"), F.when(F.col("retry_count") % 2 == 0, F.col("completed_at")).otherwise(F.col("created_at")).alias("expected_completed_at"), F.when(F.col("status").isin(2, 5), F.col("status")).otherwise(-1).alias("expected_status"))
+    applied, rejected = fl.compare_and_set(f, commands, ["completed_at", "status"])
+    return applied.select("tenant_id", "file_key", F.lit("applied").alias("outcome")).unionByName(rejected.select("tenant_id", "file_key", F.lit("rejected").alias("outcome")))
+
+
+@query("files", sql="SELECT tenant_id, file_key, CASE WHEN status = 4 THEN 0 ELSE status END AS status FROM files WHERE status <> 7")
+def files_upsert_and_remove(f):
+    f = _cols(f, "tenant_id, file_key, status")
+    return fl.removed(fl.upserted(f, f.where("status = 4").withColumn("status", F.lit(0))), f.where("status = 7"))
+
+
+# --- audits -----------------------------------------------------------------------------------------
+
+_LOST = """WITH lost AS (SELECT l.* FROM listing l LEFT JOIN files f ON f.tenant_id = l.tenant_id AND f.physical_path = l.path WHERE f.file_key IS NULL AND l.presence <> 'missing')"""
+
+
+@query("listing", "files", sql=_LOST + " SELECT tenant_id, regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS file_key, volume_id, path AS physical_path, '/Incoming' AS directory_path, length AS file_size, regexp_extract(path, '(\\.[^./]+)$', 1) AS file_extension, 0 AS status FROM lost")
+def orphan_files(l, f):  # noqa: E741
+    return rc.orphan_files(l, f)
+
+
+@query("listing", "files", sql=_LOST + """ SELECT tenant_id, path AS physical_path, (SELECT count(*) FROM lost WHERE path > '/mnt/vol-1/') > 20 AS has_more FROM lost WHERE path > '/mnt/vol-1/' ORDER BY path LIMIT 20""")
+def orphan_scan_page(l, f):  # noqa: E741
+    return rc.orphan_page(l, f, "/mnt/vol-1/", 20)
+
+
+@query("files", "listing", "volumes", sql="""SELECT f.tenant_id, f.file_key, f.status, f.status <> 7 AS lowers_quota FROM files f SEMI JOIN (SELECT * FROM volumes WHERE is_healthy) v USING (volume_id)
+    LEFT JOIN listing l ON l.tenant_id = f.tenant_id AND l.path = f.physical_path WHERE presence IS NULL OR presence = 'missing'""")
+def orphan_metadata(f, l, v):  # noqa: E741
+    return rc.orphan_metadata(f, l, v)
+
+
+@query("listing", "files", sql="""SELECT l.tenant_id, f.file_key, CASE WHEN l.status % 3 = 0 THEN upper(l.physical_path) WHEN l.status % 3 = 1 THEN l.physical_path || 'x' ELSE l.physical_path END AS physical_path,
+    CASE WHEN l.status % 3 = 1 THEN 'skip' ELSE 'correct_path' END AS resolution FROM files l JOIN files f USING (tenant_id, file_key)""")
+def orphan_conflicts(l, f):  # noqa: E741
+    path = F.when(F.col("status") % 3 == 0, F.upper("physical_path")).when(F.col("status") % 3 == 1, F.concat("physical_path", F.lit("x"))).otherwise(F.col("physical_path"))
+    return rc.conflicts(f.select("tenant_id", "file_key", path.alias("physical_path")), f)
+
+
+@query("listing", "tenants", sql="SELECT DISTINCT tenant_id FROM listing WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants WHERE has_database)")
+def metadata_loss_tenants(l, t):  # noqa: E741
+    return rc.metadata_loss(l, t)
+
+
+@query("tenants", "listing", sql="SELECT tenant_id FROM tenants WHERE status = 1 AND tenant_id NOT IN (SELECT tenant_id FROM listing)")
+def missing_tenant_dirs(t, l):  # noqa: E741
+    return rc.missing_tenant_directories(t, l)
+
+
+@query("volumes", sql="SELECT cast(sum(total_capacity) AS BIGINT) AS total_capacity, cast(sum(available_space) AS BIGINT) AS available_space, count(*) AS healthy_volumes FROM volumes WHERE is_healthy")
+def capacity_totals(v):
+    return rc.capacity(v)
+
+
+@query("listing", sql="""WITH dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM listing UNION SELECT DISTINCT '/mnt/empty/' || tenant_id FROM listing)
+    SELECT path FROM dirs WHERE path LIKE '/mnt/empty/%'""")
+def empty_directory_sweep(l):  # noqa: E741
+    dirs = l.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).unionByName(l.select(F.concat(F.lit("/mnt/empty/"), "tenant_id").alias("path"))).distinct()
+    return rc.empty_directories(l, dirs)
+
+
+# --- paths and watched folders ----------------------------------------------------------------------
+
+
+@query("files", sql=f"SELECT DISTINCT directory_path, {_normal('directory_path')} AS normalized FROM files")
+def path_normalize(f):
+    return f.select("directory_path").distinct().withColumn("normalized", paths.normalized_directory(F.col("directory_path")))
+
+
+@query("files", sql="SELECT file_key, '/' AS recovered FROM files")
+def path_recover_logical_dir(f):
+    root = F.concat(F.lit("/mnt/"), "volume_id", F.lit("/"), "tenant_id")
+    return f.select("file_key", paths.recovered_directory(F.col("physical_path"), root, F.col("file_key")).alias("recovered"))
+
+
+@query("files", sql=f"""WITH n AS (SELECT *, {_normal("directory_path")} AS d FROM files)
+    SELECT file_key, '/mnt/' || volume_id || '/' || tenant_id || CASE WHEN d = '/' THEN '' ELSE d END || '/' || file_key[1:2] || '/' || file_key[3:4] || '/' || file_key || file_extension AS path FROM n""")
+def path_physical_build(f):
+    mount = F.concat(F.lit("/mnt/"), "volume_id")
+    return f.select("file_key", paths.physical_path(mount, F.col("tenant_id"), paths.normalized_directory(F.col("directory_path")), F.col("file_key"), F.col("file_extension"), 2).alias("path"))
+
+
+@query("listing", sql="""SELECT path, regexp_extract(path, '[^/]*$', 0) AS name, regexp_extract(path, '(\\.[^./]+)$', 1) AS extension FROM listing""")
+def path_names(l):  # noqa: E741
+    return l.select("path", paths.file_name(F.col("path")).alias("name"), paths.extension(paths.file_name(F.col("path"))).alias("extension"))
+
+
+_PRINT = "'v2:' || length || ':' || ((epoch_us(modified_at) + 62135596800000000) * 10) || ':' || ((epoch_us(created_at) + 62135596800000000) * 10)"
+_HISTORY = f"SELECT path AS hpath, {_PRINT} AS imported FROM listing WHERE length % 3 = 0"
+_SCAN = f"""WITH e AS (SELECT tenant_id, path, length, {_PRINT} AS fingerprint, CASE WHEN lower(regexp_extract(path, '[^/]*$', 0)) IN ('thumbs.db', '.ds_store', 'desktop.ini') THEN 'junk' WHEN length = 0 THEN 'empty'
+    WHEN modified_at > TIMESTAMP '{NOW}' - INTERVAL 5 SECOND THEN 'too young' WHEN length % 3 = 0 THEN 'imported' WHEN presence = 'unknown' THEN 'locked' WHEN length > 15000000 THEN 'too large' END AS skip_reason FROM listing)"""
+
+
+def _eligible(l):  # noqa: E741
+    history = l.where("length % 3 = 0").select("path", paths.fingerprint(F.col("length"), F.col("modified_at"), F.col("created_at")).alias("fingerprint"))
+    return wt.eligibility(l, history, _ts(NOW), max_size=15_000_000)
+
+
+@query("listing", sql=_SCAN + " SELECT * FROM e")
+def watch_eligible(l):  # noqa: E741
+    return _eligible(l)
+
+
+@query("listing", sql=_SCAN + " SELECT count(*) AS discovered, count(*) FILTER (skip_reason IS NULL) AS imported, count(*) FILTER (skip_reason IS NOT NULL) AS skipped, cast(coalesce(sum(length) FILTER (skip_reason IS NULL), 0) AS BIGINT) AS imported_bytes FROM e")
+def watch_scan_result(l):  # noqa: E741
+    return wt.scan_result(_eligible(l))
+
+
+@query("listing", sql=_SCAN + " SELECT coalesce(skip_reason, 'import') AS outcome, count(*) AS n FROM e GROUP BY 1")
+def watch_skip_counts(l):  # noqa: E741
+    return wt.skip_counts(_eligible(l))
+
+
+@query("listing", sql="SELECT path, regexp_matches(path, '/lost-1[^/]*\\.dat$') OR regexp_matches(path, '\\.TXT$') AS strict, regexp_matches(lower(path), '\\.txt$') AS loose FROM listing")
+def watch_pattern_match(l):  # noqa: E741
+    name = paths.file_name(F.col("path"))
+    return l.select("path", paths.matches_any(name, ["lost-1*.dat", "*.TXT"]).alias("strict"), paths.matches_any(name, ["*.txt"], ignore_case=True).alias("loose"))
+
+
+@query("listing", sql=f"SELECT path, {_PRINT} AS fingerprint FROM listing")
+def watch_fingerprint_dedupe(l):  # noqa: E741
+    """A listing that meets each path twice, one of them with an older fingerprint."""
+    prints = l.select("path", paths.fingerprint(F.col("length"), F.col("modified_at"), F.col("created_at")).alias("fingerprint"), F.lit("Upsert").alias("op"), F.lit(2).alias("seq"))
+    return wt.replayed_history(prints.unionByName(prints.withColumn("fingerprint", F.lit("v2:0:0:0")).withColumn("seq", F.lit(1))))
+
+
+@query("journal", sql="""WITH o AS (SELECT physical_path AS path, cast(file_size AS VARCHAR) AS fingerprint, event_type, row_number() OVER (PARTITION BY physical_path ORDER BY event_id DESC) AS r FROM journal)
+    SELECT path, fingerprint FROM o WHERE r = 1 AND event_type NOT IN (6, 8)""")
+def history_replay(j):
+    return wt.replayed_history(j.select(F.when(F.col("event_type").isin(6, 8), "Delete").otherwise("Upsert").alias("op"), F.col("physical_path").alias("path"), F.col("file_size").cast("string").alias("fingerprint"), F.col("event_id").alias("seq")))
+
+
+@query("files", "listing", sql="SELECT physical_path AS path, file_key AS fingerprint FROM files WHERE physical_path NOT IN (SELECT path FROM listing)")
+def history_stale(f, l):  # noqa: E741
+    return wt.stale_history(f.select(F.col("physical_path").alias("path"), F.col("file_key").alias("fingerprint")), l)
+
+
+@query("listing", "tenants", sql="SELECT tenant_id, count(*) AS n FROM listing SEMI JOIN (SELECT * FROM tenants WHERE status = 1) t USING (tenant_id) GROUP BY tenant_id")
+def watch_enabled_tenants(l, t):  # noqa: E741
+    return wt.of_enabled_tenants(l, t).groupBy("tenant_id").agg(F.count("*").alias("n"))
