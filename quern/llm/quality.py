@@ -82,14 +82,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             for i in np.random.default_rng(epoch).permutation(len(held)):
                 model.learn(*held[i])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], ["n", "weights"])
+            w = model.weights()
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], 1.0) * len(held))], ["slot", "total"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     sparse = rows.mapInArrow(features, f"doc_id {key}, label int, slots binary, shares binary")
-    models = sparse.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(train, "n long, weights binary").collect()
-    if not models:
-        return np.zeros(SLOTS + 1)
-    return np.average([np.frombuffer(m["weights"], "<f4") for m in models], axis=0, weights=[m["n"] for m in models])
+    models = sparse.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(train, "slot long, total double")
+    sums = models.groupBy("slot").agg(F.sum("total").alias("total")).orderBy("slot").toPandas()  # a row per slot in use at most
+    weights = np.zeros(SLOTS + 1)
+    there = sums[sums.slot >= 0]
+    weights[there.slot] = there.total / max(1.0, sums.total[sums.slot == -1].sum())
+    return weights
 
 
 def scored(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
