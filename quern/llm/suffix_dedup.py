@@ -5,6 +5,7 @@ bucket of these names after another is sorted over all blocks: a mask goes back
 which of its names occur elsewhere. Only suffixes near such tied cover positions can tie for the full
 length; these few are named in full and sorted by bucket in turn, and the masks that come back tell which
 occur in an earlier block. What moves is names and masks, in rows of a block and a bucket; texts move once.
+Whole copies of an earlier document, all of whose suffixes are ties, are told apart by hash and left out.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import documents, written
 
 #: Bytes of text in a block and of names in a bucket, about; both bound what a task holds at once.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
-MASK = "block long, bucket long, mask binary"
+#: Notes to a block: a ``copy`` (doc_id and hash of a text that an earlier document has), or the mask of its ``cover`` or ``full`` names in a bucket.
+NOTE = "block long, kind string, number long, data binary"
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """Documents with the number of their block, in a table bucketed by it; all bytes of text."""
+def _blocks(docs: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with the number of their block, in a table bucketed by it; notes of copies; all bytes of text."""
     spark, rows = docs.sparkSession, documents(docs).select(F.col("doc_id").cast("long"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
@@ -41,17 +43,27 @@ def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"quern_{uuid.uuid4().hex}"
-    placed = rows.mapInArrow(place, "doc_id long, text string, block long")
     # Later passes join by block without moving the texts again.
+    placed = rows.mapInArrow(place, "doc_id long, text string, block long")
     placed.repartition(partitions, "block").sortWithinPartitions("block").write.bucketBy(partitions, "block").sortBy("block").option("compression", "zstd").saveAsTable(table)
-    return spark.table(table), total
+    hashes = rows.where(F.octet_length("text") >= length).select("doc_id", F.unhex(F.md5("text")).alias("data"))
+    first = hashes.groupBy("data").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = hashes.join(first, "data").where("doc_id > first").select("doc_id", "data").distinct().mapInArrow(place, "doc_id long, data binary, block long")
+    return spark.table(table), copies.select("block", F.lit("copy").alias("kind"), F.col("doc_id").alias("number"), "data"), total
+
 
+def _block(texts, notes, length: int):
+    """Ids and texts of a block in order, which of them are copies, and the block of all others."""
+    import hashlib
 
-def _block(texts, length: int):
     from .suffix_names import Block
 
     texts = texts.sort_values(["doc_id", "text"], na_position="first", kind="stable")
-    return texts.doc_id, Block([t.encode() for t in texts.text], length)
+    raw = [t.encode() for t in texts.text]
+    known = {(n, d) for n, d in zip(notes.number[notes.kind == "copy"], notes.data[notes.kind == "copy"])}
+    ids = {n for n, _ in known}
+    copy = [i in ids and (i, hashlib.md5(t).digest()) in known for i, t in zip(texts.doc_id, raw)]
+    return texts.doc_id, raw, copy, Block([t for t, c in zip(raw, copy) if not c], length)
 
 
 def _by_bucket(block: int, what: np.ndarray, bits: int, kind: str):
@@ -65,7 +77,7 @@ def _by_bucket(block: int, what: np.ndarray, bits: int, kind: str):
     return pd.DataFrame({"block": np.full(len(there), block), "bucket": there, "names": [p.tobytes() for p in np.split(low, first[1:])] if len(there) else []})
 
 
-def _masks(rows: DataFrame, kind: str, earlier: bool) -> DataFrame:
+def _masks(rows: DataFrame, name: str, kind: str, earlier: bool) -> DataFrame:
     """Sorts a bucket of all blocks' names: which of a block's names another (or an ``earlier``) block has too."""
 
     def sort(part):
@@ -82,16 +94,17 @@ def _masks(rows: DataFrame, kind: str, earlier: bool) -> DataFrame:
         if not earlier:
             tied[order[:-1]] |= same
         masks = [np.packbits(m).tobytes() for m in np.split(tied, np.cumsum([len(x) for x in each])[:-1])]
-        return pd.DataFrame({"block": part.block.to_numpy(), "bucket": part.bucket.to_numpy(), "mask": masks})
+        return pd.DataFrame({"block": part.block.to_numpy(), "kind": name, "number": part.bucket.to_numpy(), "data": masks})
 
-    return rows.groupBy("bucket").applyInPandas(sort, MASK)
+    return rows.groupBy("bucket").applyInPandas(sort, NOTE)
 
 
-def _unmasked(masks, what: np.ndarray, bits: int) -> np.ndarray:
+def _unmasked(notes, name: str, what: np.ndarray, bits: int) -> np.ndarray:
     """The masks of a block put together, for its sorted distinct names."""
+    masks = notes[notes.kind == name]
     bucket = (what >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(what), np.int64)
     sizes = dict(zip(*np.unique(bucket, return_counts=True)))
-    parts = [np.unpackbits(np.frombuffer(m, np.uint8), count=sizes[b]) for b, m in sorted(zip(masks.bucket, masks["mask"]))]
+    parts = [np.unpackbits(np.frombuffer(m, np.uint8), count=sizes[b]) for b, m in sorted(zip(masks.number, masks.data))]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
@@ -106,61 +119,55 @@ def repeats_removed(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK
     """
     from .suffix_names import cover, distinct
 
-    table, total = _blocks(docs, block_bytes)
+    table, copies, total = _blocks(docs, length, block_bytes)
+    copies = written(copies)
     period, residues = cover(length)
-    bits = lambda n: max(0, math.ceil(math.log2(max(1.0, n / bucket_bytes))))
-    sample_bits = bits(total * len(residues) / period * 4)
+    bits = max(0, math.ceil(math.log2(max(1.0, total * len(residues) / period * 4 / bucket_bytes))))
     by_block = table.groupBy("block")
 
-    def sample(texts):
-        _, block = _block(texts, length)
-        return _by_bucket(int(texts.block.iloc[0]), distinct(block.samples()[1])[0], sample_bits, "<u4")
+    def sample(texts, notes):
+        if texts.empty:
+            return _by_bucket(0, np.zeros(0, np.uint64), bits, "<u4")
+        *_, block = _block(texts, notes, length)
+        return _by_bucket(int(texts.block.iloc[0]), distinct(block.samples()[1])[0], bits, "<u4")
 
-    def tied_suffixes(texts, masks):
-        ids, block = _block(texts, length)
+    def tied_suffixes(block, notes):
         where, what = block.samples()
         known, rank, again = distinct(what)
-        tied = _unmasked(masks, known, sample_bits)[rank]
         twice = np.zeros(len(known), bool)
         twice[rank[again]] = True
-        return ids, block, *block.suffixes(where[tied | twice[rank]])
-
-    masks = _masks(by_block.applyInPandas(sample, "block long, bucket long, names binary"), "<u4", earlier=False)
-    masks = _stored(masks)
-    suffix_bits = sample_bits
+        return block.suffixes(where[(_unmasked(notes, "cover", known, bits) | twice)[rank]])
 
-    def suffixes(texts, masks):
-        _, _, _, what = tied_suffixes(texts, masks)
-        return _by_bucket(int(texts.block.iloc[0]), distinct(what)[0], suffix_bits, "<u8")
+    def suffixes(texts, notes):
+        if texts.empty:
+            return _by_bucket(0, np.zeros(0, np.uint64), bits + 1, "<u8")
+        *_, block = _block(texts, notes, length)
+        return _by_bucket(int(texts.block.iloc[0]), distinct(tied_suffixes(block, notes)[1])[0], bits + 1, "<u8")
 
-    found = by_block.cogroup(masks.groupBy("block")).applyInPandas(suffixes, "block long, bucket long, names binary")
-    earlier = _stored(_masks(found, "<u8", earlier=True).withColumnRenamed("mask", "late"))
-    both = masks.select("block", "bucket", "mask", F.lit(None).cast("binary").alias("late")).unionByName(earlier.select("block", "bucket", F.lit(None).cast("binary").alias("mask"), "late"))
+    named = "block long, bucket long, names binary"
+    pass_over = lambda notes, f, schema: by_block.cogroup(notes.groupBy("block")).applyInPandas(f, schema)
+    notes = copies.unionByName(written(_masks(pass_over(copies, sample, named), "cover", "<u4", earlier=False)))
+    notes = notes.unionByName(written(_masks(pass_over(notes, suffixes, named), "full", "<u8", earlier=True)))
 
-    def remove(texts, masks):
+    def remove(texts, notes):
         import hashlib
 
         import pandas as pd
 
+        columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if texts.empty:
-            return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        ids, block, where, what = tied_suffixes(texts, masks[masks["mask"].notna()])
+            return pd.DataFrame(columns=columns)
+        ids, raw, copy, block = _block(texts, notes, length)
+        where, what = tied_suffixes(block, notes)
         known, rank, again = distinct(what)
-        late = masks[masks.late.notna()][["bucket", "late"]].rename(columns={"late": "mask"})
-        covered = block.covered(where[again | _unmasked(late, known, suffix_bits)[rank]])
-        out = []
-        for key, s, e in zip(ids, block.starts.tolist(), block.ends.tolist()):
-            gone = covered[s:e]
-            kept = block.data[s:e][~gone].tobytes()
+        covered = block.covered(where[again | _unmasked(notes, "full", known, bits + 1)[rank]])
+        out, at = [], 0
+        for key, text, whole in zip(ids, raw, copy):
+            gone = np.ones(len(text), bool) if whole else covered[at : at + len(text)]
+            at += 0 if whole else len(text)
+            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((key, e - s, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        return frame.astype({"doc_id": "Int64"})
-
-    return by_block.cogroup(both.groupBy("block")).applyInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _stored(masks: DataFrame) -> DataFrame:
-    from .common import written
+            out.append((key, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+        return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
-    return written(masks)
+    return pass_over(notes, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
