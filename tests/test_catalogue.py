@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, more  # noqa: F401
 
 
 @pytest.fixture(scope="module")
