@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -14,8 +15,18 @@ PIECE_CHARS = 1_000_000
 _CUT = re.compile("(?<=[^ ▁]) ")  # the second is how a tokenizer writes a space
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever their working folder is."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
+
+
 def documents(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Just ``key`` and ``text``, null texts as empty ones; other columns, whatever their names, fall away."""
+    ship(df.sparkSession)
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 

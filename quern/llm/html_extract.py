@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ship
 from .html_tree import FEATURES, KINDS, Page
 from .labelled_pages import labelled_page
 from .tree_model import TreeModel, fit
@@ -49,6 +50,7 @@ def extracted(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     A null html is an empty page; a null url stays null; repeated rows are extracted each; broken or
     truncated markup is read as far as it goes; an empty table gives no rows. Nothing is shuffled.
     """
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import documents
+from .common import documents, ship
 from .ngrams import SLOTS
 
 #: Labelled rows a model is fitted on at most, by hash of their ids; the rest of them aren't needed.
@@ -120,6 +120,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> Data
 
 def kept(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     text = docs.columns.index("text")
 
