@@ -37,7 +37,7 @@ class NGrams:
     """
 
     def __init__(self) -> None:
-        self.tokens = _Tokens()
+        self.tokens = _Tokens(250_000)
 
     def slots(self, text: str) -> list[np.ndarray]:
         x = np.fromiter(map(self.tokens.__getitem__, text.split()), np.uint64)

@@ -8,6 +8,7 @@ from array import array
 from functools import lru_cache
 
 from .common import pieces
+from .words import worker_hashes
 
 # Words of ASCII and Latin-1 letters, where case folds one to one and nothing composes across a cut.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -74,5 +75,9 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """The encoder that the tasks of one Python worker share, so that its cache outlives a task."""
+    """The encoder that the tasks of one Python worker share, so that its cache outlives a task.
+
+    Hashes of words that earlier tasks have left are dropped: a worker holds one large cache at a time.
+    """
+    worker_hashes().clear()
     return WordEncoder(path)
