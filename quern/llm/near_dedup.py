@@ -31,9 +31,8 @@ def sketched(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = RO
         import pyarrow as pa
 
         from . import darts
-        from .words import shingles, worker_hashes
+        from .words import shingles, word_hashes
 
-        hashes = worker_hashes()
         key_type = pa.int64()
 
         def close(keys: list, content: list, cell: list) -> pa.RecordBatch:
@@ -52,7 +51,7 @@ def sketched(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = RO
         cell: list = []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = hashes.of(text.as_py())
+                words = word_hashes(text.as_py())
                 if key is None or not len(words):
                     continue
                 keys.append(key)

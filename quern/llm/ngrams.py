@@ -7,21 +7,22 @@ import zlib
 
 import numpy as np
 
-from .words import WordHashes
-
 #: Features live in this many slots, so a model is a vector of this length whatever the corpus.
 SLOTS = 1 << 18
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SEED = [np.uint64(x) for x in (0x8D5F, 0x1B37, 0xC2A1, 0x6E45, 0x93D7)]
 
 
-class _Tokens(WordHashes):
+class _Tokens(dict):
     """For each token between white space its word (lower half) and its surface (upper half).
 
     The surface keeps case and punctuation and forgets the letters, so n-grams of surfaces carry over to
     words never seen: ``Word,`` is ``Aa,`` and ``WORD!!`` is ``A!!``.
     """
 
+    def __init__(self, most: int):
+        self.most = most
+
     def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
             self.clear()

@@ -25,6 +25,7 @@ from quern.llm.suffix_dedup import repeats_removed  # noqa: E402
 from quern.llm.token_count import TokenCounter, token_counts  # noqa: E402
 from quern.llm.token_output import read_token_files, write_token_files  # noqa: E402
 from quern.llm.tokens import WordEncoder  # noqa: E402
+from quern.llm.words import WORD, word_hashes  # noqa: E402
 
 WORD_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = [
@@ -168,6 +169,17 @@ def test_exact_duplicates(spark):
     assert exact_duplicates(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    known = {}
+    for stretch in (1 << 18, 40):
+        monkeypatch.setattr("quern.llm.words._STRETCH", stretch)
+        for text in [*ODD, "ab ba aab aba " * 30, "\ud800x \ud800x", "B" * 5000 + " a" + "b" * 5000]:
+            words, hashes = WORD.findall(text.lower()), word_hashes(text).tolist()
+            assert len(words) == len(hashes)
+            assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(set(known.values())) == len(known) > 40
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
