@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quern.llm import darts, licenses, quality, queries, simple8b, suffix_names, tree_model  # noqa: E402
-from quern.llm.decontaminate import Rules, common_subsequence, contaminated  # noqa: E402
+from quern.llm.decontaminate import Rules, _orthogonalise, common_subsequence, contaminated  # noqa: E402
 from quern.llm.exact_dedup import deduplicated, exact_duplicates  # noqa: E402
 from quern.llm.graph import components  # noqa: E402
 from quern.llm.html_extract import extracted, main_text, states, trained  # noqa: E402
@@ -385,6 +385,15 @@ def test_common_subsequence():
         assert common_subsequence(a, b) == slow(a.tolist(), b.tolist())
 
 
+def test_orthogonalised_in_place():
+    thin = np.random.default_rng(8).standard_normal((9000, 6)).astype(np.float32)
+    thin[:, 5] = 30 * thin[:, 0] + thin[:, 5]
+    before = thin.astype(float)
+    _orthogonalise(thin)
+    assert np.allclose(thin.T @ thin, np.eye(6), atol=1e-4)
+    assert np.allclose(thin @ (thin.T @ before), before, atol=0.05)
+
+
 def test_benchmark_passages_are_found(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
