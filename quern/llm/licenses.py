@@ -24,6 +24,20 @@ SPELLINGS = [
 ]
 # Lines that only state whose work it is; other lines are what a licence says.
 COPYRIGHT_LINE = r"(?m)^[^\na-z0-9]*(copyright|\(c\)|all rights reserved|portions copyright)[^\n]*$"
+# In the SQL twin any line that begins so is one; here it needs a year, a sign or a holder, as licences go on about
+# "copyright notices" at starts of lines, too. \x0e stands for the sign; what says the licence on such a line stays.
+_NO_HOLDER = (
+    "notices?|holders?|owners?|ownership|and|or|laws?|lines?|licen[cs]e[sd]?|licensing|interests?|statements?|treaty|treaties|disclaimers?|permissions?|on|in|of|is|are|was|to|if|for|from|with|that|this|as|"
+    "also|those|like|more|then|including|resulting|patents?|trademarks?|doctrines?|claims?|rights?|protections?|infringements?|information|material|year|terms?|the (software|program|work|library|licensed|material)"
+)
+_LICENCE_SAID = (
+    r"\b(licen[cs]ed (under|to)\b|(released|distributed|available|provided) under\b|this (work|file|software|program|code) is\b|spdx-licen[cs]e-identifier|licen[cs]e:|"
+    r"permission (is|to)\b|redistributions? \b|use of this\b|the software is\b|see (the )?(file )?licen[cs]e)"
+)
+COPYRIGHT_STATEMENT = (
+    rf"(?m)^[^\na-z0-9\x0e(]*((portions )?\(?copyright([ \t:,]*(\x0e|\(c\)|[\[<]|\d{{4}}|by\b)|[ \t]+(?!({_NO_HOLDER})\b)[a-z0-9])|\x0e|\(c\)[ \t]*(\d{{4}}|copyright)|all rights reserved)"
+    rf"[^\n]*?(?=$|{_LICENCE_SAID})"
+)
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -93,11 +107,15 @@ SENTENCES = ["Licensed under {}", "Licensed under the {}", "Released under {}",
 _NOT_ASCII, _MARKS, _BLANK = r"[^\x00-\x7F]", r"[^a-z0-9\n]+", r"(?m)^ +| +$"
 
 
+# The spellings wherever a text is wrapped: a blank may be the end of a line and what the next one begins with.
+_WRAPPED = [(re.sub(r" (\??)", lambda m: r"([ \t]+|[ \t]*\n[^a-z0-9]*)".replace("(", "(?:") + m[1], pattern), by) for pattern, by in SPELLINGS]
+
+
 def canonical_text(text: str) -> str:
-    """The canonical form: lower case, no copyright lines, one spelling, no punctuation; lines stay apart."""
-    out = re.sub(_NOT_ASCII, " ", text.replace("©", "(c)").replace("\r", "\n").replace("’", "'")).lower()
-    out = re.sub(COPYRIGHT_LINE, "", out)
-    for pattern, by in SPELLINGS:
+    """The canonical form: lower case, no copyright statements, one spelling, no punctuation; lines stay apart."""
+    out = re.sub(_NOT_ASCII, " ", text.replace("\x0e", " ").replace("©", "\x0e").replace("\r", "\n").replace("’", "'")).lower()
+    out = re.sub(COPYRIGHT_STATEMENT, "", out).replace("\x0e", "(c)")
+    for pattern, by in _WRAPPED:
         out = re.sub(pattern, by, out)
     return re.sub(_BLANK, "", re.sub(_MARKS, " ", out))
 
@@ -114,9 +132,9 @@ def known_digests() -> dict[str, str]:
 
 def canonical(text: Column) -> Column:
     """``canonical_text`` as an expression."""
-    out = F.lower(F.regexp_replace(F.translate(F.replace(text, F.lit("©"), F.lit("(c)")), "\r’", "\n'"), _NOT_ASCII, " "))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "")
-    for pattern, by in SPELLINGS:
+    out = F.lower(F.regexp_replace(F.translate(text, "\x0e©\r’", " \x0e\n'"), _NOT_ASCII, " "))
+    out = F.replace(F.regexp_replace(out, COPYRIGHT_STATEMENT, ""), F.lit("\x0e"), F.lit("(c)"))
+    for pattern, by in _WRAPPED:
         out = F.regexp_replace(out, pattern, by.replace(r"\1", "$1"))
     return F.regexp_replace(F.regexp_replace(out, _MARKS, " "), _BLANK, "")
 
@@ -137,8 +155,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", form.alias("form")).select(
         "doc_id",
         F.md5(F.trim(F.regexp_replace("form", r"\s+", " "))).alias("digest"),
-        # Only lines that speak of a licence are worth a digest.
-        F.transform(F.filter(F.split("form", "\n"), lambda line: line.contains("license")), lambda line: by_digest[F.md5(line)]).alias("found"),
+        # Every line has its digest looked up: by hash first, as a map is searched from end to end.
+        F.transform(F.filter(F.transform(F.split("form", "\n"), F.md5), lambda digest: digest.isin(*digests)), lambda digest: by_digest[digest]).alias("found"),
     )
     return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", F.array_sort(F.array_distinct(F.array_compact("found"))).alias("notices"))
 

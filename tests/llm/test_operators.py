@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -433,6 +434,34 @@ def test_licences(spark):
     assert licenses.scanned(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_every_known_notice_is_found_as_a_line(spark):
+    notices = [(spdx, s.format(name)) for spdx, names in licenses.NAMES.items() for name in names for s in licenses.SENTENCES]
+    single = [(spdx, re.sub(r"\s+", " ", text)) for spdx, text in licenses.KNOWN_TEXTS]
+    wanted = notices + single
+    got = rows(licenses.scanned(docs(spark, [f"some story\n  # {text}\nmore" for _, text in wanted])))
+    assert [got[i].notices for i in range(len(wanted))] == [[spdx] for spdx, _ in wanted]
+
+
+def test_wrapped_licences_and_copyright_statements(spark):
+    def wrapped(text, width, prefix):
+        return "\n".join(prefix + line for part in text.split("\n") for line in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""])
+
+    texts = [(spdx, wrapped(text, width, prefix)) for spdx, text in licenses.KNOWN_TEXTS for width in (20, 40, 66, 72) for prefix in ("", "  ", " * ")]
+    # Each line begins with the word.
+    texts += [(spdx, re.sub(r" (?=copyright\b)", "\n", text, flags=re.I)) for spdx, text in licenses.KNOWN_TEXTS]
+    mit, isc = dict(licenses.KNOWN_TEXTS[:1])["MIT"], licenses.KNOWN_TEXTS[3][1]
+    heads = ["Copyright (c) 2020 Someone", "© Some One", "Copyright 2001-2003, Some One Inc.", "Copyright The Foo Authors", "(C) 1999 X", "Portions Copyright by Y", "All rights reserved.", "Copyright © <year> <holder>. All Rights Reserved."]
+    texts += [(spdx, f"{head}\n\n{text}") for head in heads for spdx, text in (("MIT", mit), ("ISC", isc))]
+    texts += [("MIT", f"Copyright (c) 2020 Someone. All rights reserved. {mit}")]
+    said = [("MIT", "Copyright 2020 X Inc. Licensed under the MIT License."), ("GPL-3.0", "(c) 2019 Y, released under GPL-3.0"), ("Apache-2.0", "All rights reserved. SPDX-License-Identifier: Apache-2.0")]
+    got = rows(licenses.scanned(docs(spark, [text for _, text in texts + said])))
+    assert [got[i].license for i in range(len(texts))] == [spdx for spdx, _ in texts]
+    assert [got[len(texts) + i].notices for i in range(len(said))] == [[spdx] for spdx, _ in said]
+    lists = ["(c) you must retain\nthe notices", "copyright notice and this permission", "copyright on the work"]
+    assert [licenses.canonical_text(t) for t in lists] == ["c you must retain\nthe notices", "copyright notice and this permission", "copyright on the work"]
+    assert all(got[i].digest == hashlib.md5(licenses._joined(t).encode()).hexdigest() for i, (_, t) in enumerate(texts + said))
+
+
 # --- queries and pipeline -----------------------------------------------------------------------------
 
 
