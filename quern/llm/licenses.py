@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Spellings that stand for the same word, as patterns for what is left of a text after
 # case folding, in the order of their use.
@@ -32,7 +34,7 @@ _NO_HOLDER = (
 )
 _LICENCE_SAID = (
     r"\b(licen[cs]ed (under|to)\b|(released|distributed|available|provided) under\b|this (work|file|software|program|code) is\b|spdx-licen[cs]e-identifier|licen[cs]e:|"
-    r"permission (is|to)\b|redistributions? \b|use of this\b|the software is\b|see (the )?(file )?licen[cs]e)"
+    r"permission (is|to)\b|everyone is permitted\b|redistributions? \b|use of this\b|the software is\b|see (the )?(file )?licen[cs]e)"
 )
 COPYRIGHT_STATEMENT = (
     rf"(?m)^[^\na-z0-9\x0e(]*((portions )?\(?copyright([ \t:,]*(\x0e|\(c\)|[\[<]|\d{{4}}|by\b)|[ \t]+(?!({_NO_HOLDER})\b)[a-z0-9])|\x0e|\(c\)[ \t]*(\d{{4}}|copyright)|all rights reserved)"
@@ -70,7 +72,7 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-# Whole texts of known licences and notices, by SPDX identifier.
+# Short whole texts of known licences and notices, by SPDX identifier; long ones are in license_texts/.
 KNOWN_TEXTS = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -125,7 +127,7 @@ def _joined(text: str) -> str:
 
 
 def known_digests() -> dict[str, str]:
-    """Licence by digest of the canonical form of each known text and notice."""
+    """Licence by digest of the canonical form of each of KNOWN_TEXTS and each notice, as the SQL twin has them."""
     texts = KNOWN_TEXTS + [(spdx, s.format(name)) for spdx, names in NAMES.items() for name in names for s in SENTENCES]
     return {hashlib.md5(_joined(t).encode()).hexdigest(): spdx for spdx, t in texts}
 
@@ -139,26 +141,48 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, _MARKS, " "), _BLANK, "")
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+@lru_cache(maxsize=1)
+def full_texts() -> list[tuple[str, str]]:
+    """(spdx, text) of KNOWN_TEXTS, the full licences in license_texts/ and these without what follows their terms."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    whole = [(f.stem.split("~")[0], f.read_text(encoding="utf-8")) for f in files]
+    end = re.compile(r"END OF TERMS AND CONDITIONS")
+    return KNOWN_TEXTS + whole + [(spdx, text[: m.end()]) for spdx, text in whole for m in end.finditer(text)] + [(spdx, text[: m.start()]) for spdx, text in whole for m in end.finditer(text)]
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """The texts that ``scanned`` knows by default, to be used as they are or with further rows of spdx and text."""
+    return spark.createDataFrame(full_texts(), "spdx string, text string")
+
+
+def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per row doc_id, digest, license, notices.
 
     ``digest`` is the MD5 of the whole text's canonical form, ``license`` the SPDX identifier of the known
     licence whose whole text that is (null if none), ``notices`` the sorted distinct identifiers of known
-    notices that stand as a line of the text. A null text is an empty one and is no licence; repeated
-    rows are scanned each; an empty table gives no rows. The known digests, a fixed list, are the
-    broadcast side of the join and nothing is shuffled.
+    notices that stand as a line of the text. ``known`` (spdx, text) are the known whole texts, by default
+    ``known_texts``; notices of one sentence are known always, and of identifiers that share a text the least
+    counts. A known text without a word is none. A null text is an empty one and is no licence; repeated
+    rows are scanned each; an empty table gives no rows. The known digests are the broadcast side of the
+    join, a row per text, and nothing of the documents is shuffled. Lines are looked up among the notices
+    and default texts.
     """
-    digests = known_digests()
-    known = docs.sparkSession.createDataFrame(list(digests.items()), "digest string, license string")
-    by_digest = F.create_map(*[F.lit(x) for kv in digests.items() for x in kv])
+    notices = known_digests()
+    by_text = {hashlib.md5(_joined(t).encode()).hexdigest(): spdx for spdx, t in full_texts()} | notices
+    spark = docs.sparkSession
+    texts = known_texts(spark) if known is None else known.select("spdx", "text")
+    whole = texts.select(F.trim(F.regexp_replace(canonical(F.col("text")), r"\s+", " ")).alias("form"), F.col("spdx").alias("license")).where("form <> ''")
+    sentences = [(hashlib.md5(_joined(s.format(name)).encode()).hexdigest(), spdx) for spdx, names in NAMES.items() for name in names for s in SENTENCES]
+    digests = whole.select(F.md5("form").alias("digest"), "license").unionByName(spark.createDataFrame(sentences, "digest string, license string")).groupBy("digest").agg(F.min("license").alias("license"))
+    by_digest = F.create_map(*[F.lit(x) for kv in by_text.items() for x in kv])
     form = canonical(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select("doc_id", form.alias("form")).select(
         "doc_id",
         F.md5(F.trim(F.regexp_replace("form", r"\s+", " "))).alias("digest"),
         # Every line has its digest looked up: by hash first, as a map is searched from end to end.
-        F.transform(F.filter(F.transform(F.split("form", "\n"), F.md5), lambda digest: digest.isin(*digests)), lambda digest: by_digest[digest]).alias("found"),
+        F.transform(F.filter(F.transform(F.split("form", "\n"), F.md5), lambda digest: digest.isin(*by_text)), lambda digest: by_digest[digest]).alias("found"),
     )
-    return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", F.array_sort(F.array_distinct(F.array_compact("found"))).alias("notices"))
+    return rows.join(F.broadcast(digests), "digest", "left").select("doc_id", "digest", "license", F.array_sort(F.array_distinct(F.array_compact("found"))).alias("notices"))
 
 
 def oracle_sql() -> str:

@@ -462,6 +462,22 @@ def test_wrapped_licences_and_copyright_statements(spark):
     assert all(got[i].digest == hashlib.md5(licenses._joined(t).encode()).hexdigest() for i, (_, t) in enumerate(texts + said))
 
 
+def test_full_licence_texts_and_further_ones(spark):
+    full = licenses.full_texts()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "MIT", "Zlib"} <= {spdx for spdx, _ in full}
+    flowed = [(spdx, "\n\n".join(part if re.search(r"copyright (\(c\)|©)", part, re.I) else " ".join(part.split()) for part in text.split("\n\n"))) for spdx, text in full]
+    every = full + flowed + [(spdx, re.sub(r"(?m)^", " * ", text.upper())) for spdx, text in full]
+    got = rows(licenses.scanned(docs(spark, [text for _, text in every])))
+    assert [got[i].license for i in range(len(every))] == [spdx for spdx, _ in every]
+
+    own = "My own licence:\nCopyright 2020 Me\ndo what you like."
+    further = spark.createDataFrame([("LicenseRef-own", own), ("LicenseRef-other", own), ("LicenseRef-none", ""), ("LicenseRef-none", None)], "spdx string, text string")
+    texts = ["MY OWN LICENSE: do what\nyou like", "", full[0][1], "Released under MIT"]
+    got = rows(licenses.scanned(docs(spark, texts), licenses.known_texts(spark).unionByName(further)))
+    assert [got[i].license for i in range(4)] == ["LicenseRef-other", None, "MIT", "MIT"]
+    assert [r.license for r in licenses.scanned(docs(spark, texts[:1])).collect()] == [None]
+
+
 # --- queries and pipeline -----------------------------------------------------------------------------
 
 
