@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -15,6 +16,8 @@ ENDS_BEFORE = {
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"},
 }
 LIST_LIKE = set("ul ol dl table tbody thead tfoot".split())
+# What may stand in a head; anything else ends it, as does text.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 
 TAGS = {
     "p": "p", "h1": "h1", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading",
@@ -58,15 +61,104 @@ class Node:
     children: int = 0
 
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
+class _Reader(HTMLParser):
+    """A page as a list of starts, ends and texts."""
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.events: list[tuple[str, str, list]] = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.events.append(("start", tag, attrs))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.events.append(("both", tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.events.append(("end", tag, []))
+
+    def handle_data(self, data: str) -> None:
+        if data:
+            self.events.append(("text", data, []))
+
+
+class _Silences:
+    """Where the silent elements of a page are over.
+
+    That is after their own end tag. One that has none, before an element around it closes, is over with that
+    element or where a block starts; a head with anything that can't stand in it. Only an unclosed script
+    or style runs to the end of the page, as in browsers, since nothing tells its text from tags.
+    """
+
+    def __init__(self, events: list[tuple[str, str, list]]) -> None:
+        self.events = events
+        self.closed: dict[int, int] = {}
+        self.limit: dict[int, int] = {}
+        around: list[tuple[str, int]] = []
+        count: Counter[str] = Counter()
+        for i, (kind, tag, _) in enumerate(events):
+            if kind == "start" and tag not in VOID and tag not in INLINE:
+                around.append((tag, i))
+                count[tag] += 1
+            elif kind == "end" and count[tag]:
+                while True:
+                    last, start = around.pop()
+                    count[last] -= 1
+                    if last == tag:
+                        self.closed[start] = i
+                        break
+                    self.limit[start] = i
+
+    def over(self, i: int) -> int:
+        """The event that is heard next after the start of a silent element."""
+        is_head = self.events[i][1] == "head"
+        if i in self.closed and not is_head:
+            return self.closed[i] + 1
+        end = self.closed[i] + 1 if i in self.closed else self.limit.get(i, len(self.events))
+        at, unclosed_inside = i + 1, 0
+        while at < end:
+            kind, tag, _ = self.events[at]
+            if kind == "text":
+                if is_head and at >= unclosed_inside and tag.strip():
+                    return at
+            elif kind != "end":
+                if tag in TAGS or (is_head and tag not in IN_HEAD):
+                    return at
+                if kind == "start" and tag in SILENT:
+                    if at in self.closed:
+                        at = self.closed[at]
+                    else:
+                        unclosed_inside = max(unclosed_inside, self.limit.get(at, end))
+            at += 1
+        return end
+
+
+class _Builder:
+    def __init__(self, html: str) -> None:
         self.nodes = [Node("#root", -1)]
         self.stack = [0]
         self.order: list[tuple[int, list[str]]] = []  # runs of text and whose they are, in page order
         self.run: list[str] | None = None
-        self.silent: list[str] = []
         self.in_link = False
+        events = _Reader(html).events
+        silences = _Silences(events)
+        at = 0
+        while at < len(events):
+            kind, tag, attrs = events[at]
+            if kind == "text":
+                self.handle_data(tag)
+            elif kind == "end":
+                self.handle_endtag(tag)
+            elif tag not in SILENT:
+                self.handle_starttag(tag, attrs)
+                if kind == "both" and tag not in VOID and tag not in INLINE:
+                    self.handle_endtag(tag)
+            elif kind == "start":
+                at = silences.over(at)
+                continue
+            at += 1
 
     def _break(self) -> None:
         self.run, self.in_link = None, False
@@ -76,13 +168,6 @@ class _Builder(HTMLParser):
         self._break()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.append(tag)
-            return
-        if tag in SILENT:
-            self.silent.append(tag)
-            return
         if tag in INLINE:
             if tag == "a":
                 self.in_link = True
@@ -109,16 +194,7 @@ class _Builder(HTMLParser):
         self.stack.append(len(self.nodes) - 1)
         self._break()
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
-        if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            return
         if tag in INLINE:
             self.in_link = self.in_link and tag != "a"
             return
@@ -128,7 +204,7 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.silent or not data:
+        if not data:
             return
         node = self.nodes[self.stack[-1]]
         if self.run is None:
@@ -149,9 +225,7 @@ class Page:
     """Nodes in order of their start, parents first; ``blocks`` are (node, text) in page order."""
 
     def __init__(self, html: str):
-        builder = _Builder()
-        builder.feed(html)
-        builder.close()
+        builder = _Builder(html)
         self.nodes = builder.nodes
         self.parent = [n.parent for n in self.nodes]
         self.blocks = [(i, t) for i, run in builder.order if (t := clean(run))]

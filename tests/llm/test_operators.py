@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quern.llm import darts, licenses, quality, queries, simple8b, suffix_names, tree_model  # noqa: E402
+from quern.llm import darts, html_tree, licenses, quality, queries, simple8b, suffix_names, tree_model  # noqa: E402
 from quern.llm.decontaminate import Rules, _orthogonalise, common_subsequence, contaminated  # noqa: E402
 from quern.llm.exact_dedup import deduplicated, exact_duplicates  # noqa: E402
 from quern.llm.graph import components  # noqa: E402
@@ -370,6 +370,24 @@ def test_extraction(spark):
     assert main_text("<p>" * 3000 + "<div>" * 3000, trained()) == ""
 
 
+def test_unclosed_silent_elements():
+    texts = lambda html: [t for _, t in Page(html).blocks]
+    article = "<article><h1>A title</h1><p>Some text.</p></article>"
+    wanted = ["A title", "Some text."]
+    for head in ("<html><head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title><script>var a = '<p>';</script>", "<head><style>p {}</style><body>", "<head><title>x<body>", "<head><title>x</title></head><body>", "<head>", "<head><noscript><p>no</p></noscript>"):
+        assert texts(head + article + "</body></html>") == wanted, head
+    assert texts("<head><title>x</title>Loose text") == ["Loose text"]
+    for tag in sorted(html_tree.SILENT - {"head", "script", "style"}):
+        for page in (f"<div>Before <{tag}>silent</div>{article}", f"<body><{tag}>silent{article}</body>", f"<body><{tag}>a<{tag}>silent</body>{article}"):
+            assert [t for t in texts(page) if t != "Before"] == wanted, page
+        # A closed one is silent with all that is in it.
+        assert texts(f"<div>Before<{tag}><div><p>silent</p></div><{tag}>more</{tag}>x</{tag}> after</div><{tag}/>{article}") == ["Before after", *wanted], tag
+    for tag in ("script", "style"):
+        assert texts(f"{article}<{tag}>var a = '<p>silent</p>';") == wanted
+    assert texts("<select><option>a<option>b<p>text</p><select><option>c</option></select>") == ["text"]
+    assert texts("<select>" * 3000 + "<p>text") == ["text"]
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
