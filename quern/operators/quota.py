@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import normalized_directory
@@ -44,11 +46,41 @@ def reservations(events: DataFrame, limit: int) -> DataFrame:
     accept: turns a reservation into a projected one, or projects one without; release: takes a
     reservation, else a projected one, never below 0.
     """
-    s = lambda p, r, x: f"named_struct('projected', {p}, 'reserved', {r}, 'rejected', {x})"
-    body = f"""CASE
-      WHEN e.kind = 'reserve' THEN CASE WHEN {limit} = 0 OR s.projected + s.reserved < {limit} THEN {s("s.projected", "s.reserved + 1", "s.rejected")} ELSE {s("s.projected", "s.reserved", "s.rejected + 1")} END
-      WHEN e.kind = 'accept' THEN {s("s.projected + 1", "greatest(0, s.reserved - 1)", "s.rejected")}
-      WHEN s.reserved > 0 THEN {s("s.projected", "s.reserved - 1", "s.rejected")}
-      ELSE {s("greatest(0, s.projected - 1)", "s.reserved", "s.rejected")} END"""
-    grouped = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("events"))
-    return grouped.select("key", F.expr(f"aggregate(events, {s(0, 0, 0)}, (s, e) -> {body})").alias("s")).select("key", "s.*")
+    kind = events.schema["key"].dataType.simpleString()
+    # A key's events pass by in order; a task holds a batch of them and the counts of one key.
+    rows = events.select("key", "seq", "kind").repartition("key").sortWithinPartitions("key", "seq", "kind").select("key", "kind")
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def closed(done: list, key_type) -> pa.RecordBatch:
+            keys, *counts = zip(*done)
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(c, pa.int32()) for c in counts)], ["key", "projected", "reserved", "rejected"])
+
+        key = key_type = None
+        begun = False
+        projected = reserved = rejected = 0
+        for batch in batches:
+            key_type, done = batch.schema.field(0).type, []
+            for k, what in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not begun or k != key:
+                    if begun:
+                        done.append((key, projected, reserved, rejected))
+                    key, begun, projected, reserved, rejected = k, True, 0, 0, 0
+                if what == "reserve":
+                    if limit == 0 or projected + reserved < limit:
+                        reserved += 1
+                    else:
+                        rejected += 1
+                elif what == "accept":
+                    projected, reserved = projected + 1, max(0, reserved - 1)
+                elif reserved > 0:
+                    reserved -= 1
+                else:
+                    projected = max(0, projected - 1)
+            if done:
+                yield closed(done, key_type)
+        if begun:
+            yield closed([(key, projected, reserved, rejected)], key_type)
+
+    return rows.mapInArrow(fold, f"key {kind}, projected int, reserved int, rejected int")

@@ -216,3 +216,21 @@ def test_tables(spark, tmp_path):
     tb.replace_tenants(f.where("tenant_id = 'u'").withColumn("status", F.lit(2)).withColumn("cursor", F.lit(9)), str(tmp_path / "s"))
     assert sorted((r.tenant_id, r.status) for r in tb.read_snapshot(spark, str(tmp_path / "s")).collect()) == [("t", 0), ("u", 2)]
     assert tb.compact(spark, str(tmp_path / "s"), str(tmp_path / "c")).first().files_after == 1
+
+
+def test_reservations_hold_no_group(spark):
+    rows = [(k, i, ("reserve", "accept", "release", None)[(i * i + (k or 0)) % 7 % 4]) for k in (None, 1, 2, 3) for i in range(25_000 if k == 1 else 40)]
+    events = spark.createDataFrame(rows[::-1], "key long, seq long, kind string")
+    wanted = {}
+    for k, _, kind in rows:
+        p, r, x = wanted.get(k, (0, 0, 0))
+        if kind == "reserve":
+            wanted[k] = (p, r + 1, x) if p + r < 3 else (p, r, x + 1)
+        elif kind == "accept":
+            wanted[k] = (p + 1, max(0, r - 1), x)
+        else:
+            wanted[k] = (p, r - 1, x) if r else (max(0, p - 1), r, x)
+    got = qt.reservations(events, 3)
+    assert {r.key: (r.projected, r.reserved, r.rejected) for r in got.collect()} == wanted
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert qt.reservations(events.where("false"), 3).count() == 0
