@@ -442,6 +442,17 @@ def test_contamination_of_odd_tables(spark):
     assert [(r.doc_id, r.item_id, r.lcs) for r in found] == [(0, 1, 1.0)]
 
 
+def test_contamination_of_tiny_tables_and_items_without_a_last_sentence(spark):
+    item = "Which river runs through the old town of the painter who drew maps? It is the small one, the Ilse."
+    quote = "Name the film that was shot in the harbour in one long summer. “…”"
+    bench = spark.createDataFrame([(1, item), (2, quote)], "item_id long, text string")
+    found = lambda texts: sorted((r.doc_id, r.item_id) for r in contaminated(docs(spark, texts), bench).collect())
+    assert found([item]) == [(0, 1)]
+    around = [f"first {w} second {w} third words before {w} {item} then some more about {w}" for w in ("alder", "birch", "cedar")]
+    assert found(around) == [(0, 1), (1, 1), (2, 1)]
+    assert found([quote, "nothing of these"]) == [(0, 2)]
+
+
 def test_licences(spark):
     mit = dict(licenses.KNOWN_TEXTS)["MIT"]
     texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("LICENSE", "Licence"), mit[:-20], "story\nReleased under the MIT License.\nmore", "Licensed under the Apache Licence, version 2.0", None, ""]
