@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.paths import dead_letter_path
 from ..functions.time import retry_delay, seconds
-from ..schema import ACTIVE, HOT
+from ..schema import ACTIVE, COMMITTED, HOT
+from .running import running
+
+
+def _no_time() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
 
 
 def by_status(files: DataFrame, status: int) -> DataFrame:
@@ -17,6 +23,27 @@ def hot(files: DataFrame) -> DataFrame:
     return files.where(F.col("status").isin(*HOT))
 
 
+def looked_up(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the ``wanted`` tenants and keys; each once, however often it is asked for."""
+    return files.join(wanted.select("tenant_id", "file_key").distinct(), ["tenant_id", "file_key"], "left_semi")
+
+
+def locations(files: DataFrame) -> DataFrame:
+    """What a client is told of a file, with its lease (tenant, key, start) where it is in work."""
+    lease = F.when(F.col("processing_start_time").isNotNull(), F.struct("tenant_id", "file_key", "processing_start_time"))
+    return files.select("tenant_id", "file_key", "volume_id", "physical_path", "directory_path", "file_size", "created_at", "status", "retry_count", "last_error", "file_extension", lease.alias("lease"))
+
+
+def pending_counts(files: DataFrame) -> DataFrame:
+    """Pending rows of each tenant that has any rows."""
+    return files.groupBy("tenant_id").agg(F.count_if(F.col("status") == 0).alias("pending"))
+
+
+def writable(volumes: DataFrame, required: int = 0) -> DataFrame:
+    """Healthy volumes with room, and with ``required`` bytes of it where that is above 0."""
+    return volumes.where(F.col("is_healthy") & (F.col("available_space") > 0) & (F.col("available_space") >= required))
+
+
 def overlaid(hot_rows: DataFrame, cold_rows: DataFrame) -> DataFrame:
     """Hot rows over cold ones of the same tenant and key, in one pass of partial maxima."""
     columns = cold_rows.columns
@@ -76,33 +103,84 @@ def failed_once_more(files: DataFrame, now: Column, max_retry: int = 3, initial:
         .withColumn("status", F.when(dead, F.lit(4)).otherwise(F.lit(0)))
         .withColumn("retry_count", retry.cast("int"))
         .withColumn("last_failed_at", now)
-        .withColumn("processing_start_time", F.lit(None).cast("timestamp_ntz"))
+        .withColumn("released_lease", F.col("processing_start_time"))
+        .withColumn("processing_start_time", _no_time())
     )
 
 
-def timed_out(files: DataFrame, now: Column, timeout: int) -> DataFrame:
-    """Processing rows whose lease is older than ``timeout`` seconds, reset to pending."""
+def timed_out(files: DataFrame, now: Column, timeout: int, most: int | None = None) -> DataFrame:
+    """Processing rows whose lease is older than ``timeout`` seconds, oldest first and at most ``most`` of them, as pending ones from ``now`` on."""
     late = files.where((F.col("status") == 1) & (F.col("processing_start_time") < now - seconds(timeout)))
-    return late.withColumn("released_lease", F.col("processing_start_time")).withColumn("status", F.lit(0)).withColumn("available_at", now).withColumn("processing_start_time", F.lit(None).cast("timestamp_ntz"))
+    late = late.orderBy("processing_start_time", "file_key").limit(most) if most else late
+    return late.withColumns({"released_lease": F.col("processing_start_time"), "status": F.lit(0), "available_at": now, "processing_start_time": _no_time()})
+
+
+def timed_out_by_tenant(files: DataFrame, now: Column, timeout: int, batch: int) -> DataFrame:
+    """``timed_out`` rows with the number of the batch of their tenant, ``batch`` rows each from the oldest on: all batches until a short one."""
+    late = files.where((F.col("status") == 1) & (F.col("processing_start_time") < now - seconds(timeout))).withColumn("_at", F.unix_micros(F.col("processing_start_time").cast("timestamp")))
+    placed = running(late.withColumn("_one", F.lit(1)), ["tenant_id"], "_at", "_one", "sum", "_before", size=86_400_000_000)
+    reset = timed_out(placed, now, timeout)
+    return reset.withColumn("batch", F.floor(F.col("_before") / batch)).drop("_at", "_one", "_before")
+
+
+def leased_next(files: DataFrame, now: Column, k: int = 1) -> DataFrame:
+    """The first ``k`` ready rows of each tenant, leased: processing from ``now`` on. What they waited for stays in available_at."""
+    taken = next_pending(files, now, k).drop("rank")
+    return taken.withColumns({"status": F.lit(1), "processing_start_time": now, "released_lease": _no_time()})
+
+
+def leased_after_reclaim(files: DataFrame, now: Column, timeout: int, k: int = 1, reclaim: int = 100) -> DataFrame:
+    """``leased_next``; where a tenant has nothing ready, up to ``reclaim`` of its timed-out rows, oldest first, are made pending and leased from."""
+    first = leased_next(files, now, k)
+    idle = files.select("tenant_id").distinct().join(first.select("tenant_id").distinct(), "tenant_id", "left_anti")
+    late = files.join(idle, "tenant_id", "left_semi").where((F.col("status") == 1) & (F.col("processing_start_time") < now - seconds(timeout)))
+    oldest = Window.partitionBy("tenant_id").orderBy("processing_start_time", "file_key")
+    reclaimed = timed_out(late.withColumn("_place", F.row_number().over(oldest)).where(F.col("_place") <= reclaim).drop("_place"), now, timeout)
+    return first.unionByName(leased_next(reclaimed, now, k).select(first.columns))
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key by ``order``: what a list that names a file twice counts once."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
 def lease_result(files: DataFrame, commands: DataFrame) -> DataFrame:
-    """Commands (tenant_id, file_key, kind, lease) against their rows: ``applied``, ``idempotent``, ``mismatch`` or ``missing``.
+    """Commands (tenant_id, file_key, kind, lease) against their rows: ``applied``, ``late``, ``idempotent`` or ``mismatch``.
 
-    A row that has been completed takes another completion as done; one whose lease has been released by
-    a failure or a timeout takes a late completion under that lease.
+    A completion of a row that is gone or completed already is done (idempotent); one under a lease that a
+    failure or timeout has released is taken late. A failure is idempotent only under the very lease that
+    was completed or released; under any other, or of a row that is gone, it is a mismatch.
     """
-    row = files.select("tenant_id", "file_key", "status", "processing_start_time", "last_failed_at")
+    row = files.select("tenant_id", "file_key", "status", "processing_start_time", "last_failed_at", "available_at", "last_error", "released_lease")
     out = commands.join(row, ["tenant_id", "file_key"], "left")
-    same = F.coalesce(F.col("processing_start_time") == F.col("lease"), F.lit(False))
+    none = F.col("processing_start_time").isNull()
+    released = none & F.coalesce(F.col("released_lease") == F.col("lease"), F.lit(False))
+    touched = F.col("last_failed_at").isNotNull() | F.col("available_at").isNotNull() | (F.coalesce("last_error", F.lit("")) != "")
+    complete = F.col("kind") == "complete"
     result = (
-        F.when(F.col("status").isNull(), F.when(F.col("kind") == "complete", "idempotent").otherwise("missing"))
-        .when(F.col("status").isin(2, 5, 6), F.lit("idempotent"))
-        .when((F.col("status") == 1) & same, F.lit("applied"))
-        .when((F.col("kind") == "fail") & F.col("status").isin(0, 3, 4) & F.coalesce(F.col("last_failed_at") >= F.col("lease"), F.lit(False)), F.lit("idempotent"))
+        F.when(F.col("status").isNull(), F.when(complete, "idempotent").otherwise("mismatch"))
+        .when(F.col("status").isin(*COMMITTED), F.when(complete | released, "idempotent").otherwise("mismatch"))
+        .when(complete & released & ((F.col("status").isin(4, 7)) | ((F.col("status") == 0) & touched)), F.lit("late"))
+        .when(~complete & released & F.col("status").isin(0, 4, 7), F.lit("idempotent"))
+        .when((F.col("status") == 1) & F.coalesce(F.col("processing_start_time") == F.col("lease"), F.lit(False)), F.lit("applied"))
         .otherwise(F.lit("mismatch"))
     )
-    return out.select("tenant_id", "file_key", "kind", result.alias("result"))
+    return out.select("tenant_id", "file_key", "kind", "lease", result.alias("result"))
+
+
+def completed(files: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
+    """The rows that completions (as for ``lease_result``) complete, those under a released lease included."""
+    done = lease_result(files, commands.where("kind = 'complete'")).where("result in ('applied', 'late')").select("tenant_id", "file_key", "lease")
+    rows = files.join(first_of_each(done, ["tenant_id", "file_key"], "lease"), ["tenant_id", "file_key"])
+    cleared = dict.fromkeys(("processing_start_time", "available_at", "delete_succeeded_at", "dead_lettered_at"), _no_time())
+    return rows.withColumns({"status": F.lit(2), "completed_at": now, "last_error": F.lit(None).cast("string"), "released_lease": F.col("lease"), **cleared}).drop("lease")
+
+
+def completion_events(completed_rows: DataFrame, now: Column) -> DataFrame:
+    """The two journal events of each completion, Completed and DeleteRequested, of one time."""
+    both = completed_rows.withColumn("event_type", F.explode(F.array(F.lit(4), F.lit(5))))
+    return both.select("tenant_id", "file_key", "event_type", now.alias("occurred_at"), F.when(F.col("event_type") == 4, F.col("released_lease")).alias("processing_start_time"))
 
 
 def compare_and_set(files: DataFrame, commands: DataFrame, expected: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -149,23 +227,64 @@ def dispositions(files: DataFrame, presence: DataFrame, retired: DataFrame, cuto
     return out.select("tenant_id", "file_key", "volume_id", "status", "file_size", action.alias("action"))
 
 
+def failed_dispositions(files: DataFrame, presence: DataFrame, volumes: DataFrame, retired: DataFrame, cutoff: Column, disposition: str, day: Column, depth: int = 2) -> DataFrame:
+    """What cleanup does with each permanently failed row older than ``cutoff``: action, target_path, next_status and bytes_freed.
+
+    ``disposition`` is ``keep`` (nothing is done), ``delete`` or ``dead_letter``. A file whose presence isn't
+    known (no access, or its volume is gone) is blocked, unless its volume is retired with rows to purge:
+    then the row alone goes. A row on a volume that isn't registered is blocked. A missing file frees
+    nothing and is dead-lettered where it is.
+    """
+    due = files.where((F.col("status") == 4) & (F.col("last_failed_at") < cutoff))
+    seen = presence.select("tenant_id", F.col("path").alias("physical_path"), "presence")
+    mounted = volumes.select("volume_id", "mount_path")
+    out = due.join(seen, ["tenant_id", "physical_path"], "left").join(retired, "volume_id", "left").join(mounted, "volume_id", "left")
+    there, known = F.col("presence") == "present", F.col("mount_path").isNotNull()
+    unknown = (F.col("presence") == "unknown") | (F.col("presence").isNull() & ~known)
+    act = {"keep": "blocked: kept", "delete": "delete", "dead_letter": "dead_letter"}[disposition]
+    action = F.when(unknown, F.when(F.col("disposition") == 1, "purge_metadata").otherwise("blocked: presence unknown")).when(~known, "blocked: no volume").otherwise(act)
+    out = out.withColumn("action", action)
+    moved = dead_letter_path(F.concat("mount_path", F.lit("/.deadletter")), F.col("tenant_id"), day, F.col("file_key"), F.col("file_extension"), depth)
+    target = F.when(F.col("action") == "dead_letter", F.when(there, moved).otherwise(F.col("physical_path")))
+    status = F.when(F.col("action").isin("delete", "purge_metadata"), 6).when(F.col("action") == "dead_letter", 7).otherwise(F.col("status"))
+    freed = F.when((F.col("action") == "delete") & there, F.col("file_size")).otherwise(F.lit(0).cast("bigint"))
+    return out.select("tenant_id", "file_key", "volume_id", "action", target.alias("target_path"), status.cast("int").alias("next_status"), freed.alias("bytes_freed"))
+
+
+def status_cleanup(files: DataFrame, actions: DataFrame | None, now: Column, timeout: int | None) -> DataFrame:
+    """The combined cleanup as one set of changes: timed-out rows reset (``timeout`` seconds, None for none) and what ``actions`` (``failed_dispositions``) do."""
+    nothing = files.where("false").select("tenant_id", "file_key", F.lit("reset").alias("action"), F.lit(0).alias("next_status"), F.lit(0).cast("bigint").alias("bytes_freed"))
+    reset = nothing if timeout is None else timed_out(files, now, timeout).select("tenant_id", "file_key", F.lit("reset").alias("action"), "status", F.lit(0).cast("bigint").alias("bytes_freed")).withColumnRenamed("status", "next_status")
+    done = nothing if actions is None else actions.where("action not like 'blocked%'").select("tenant_id", "file_key", "action", "next_status", "bytes_freed")
+    return reset.unionByName(done)
+
+
+#: Volumes that one request may choose from: they are hardware of one cluster, and each request sees all of them.
+MAX_VOLUMES = 4096
+
+
 def volume_choice(volumes: DataFrame, requests: DataFrame) -> DataFrame:
-    """A volume for each request (request_id, ticket, size): of two that the ticket picks the one with more space.
+    """For each request (request_id, ticket, size) the volumes to try in order, null where none takes it.
 
-    Only healthy volumes with room for the request count. Volumes are few by nature; they sit in one array.
+    Two of the healthy volumes with room, in order of their ids, come first: the ticket picks one, the
+    ticket's next number another one, and the one with more space leads (the first of equals). The others
+    follow. The volumes are one array that the plan reads once; more than MAX_VOLUMES of them are an error.
     """
-    # A row per volume of the cluster: bounded by its hardware, and needed as one list by every request.
-    writable = volumes.where("is_healthy and available_space > 0").select("volume_id", "available_space").orderBy("volume_id").collect()
-    every = F.array(*[F.struct(F.lit(v["volume_id"]).alias("volume_id"), F.lit(v["available_space"]).alias("available_space")) for v in writable])
-    if not writable:
-        return requests.select("request_id", F.lit(None).cast("string").alias("volume_id"))
-    rows = requests.withColumn("fit", F.filter(every, lambda v: v["available_space"] >= F.col("size")))
+    one = F.struct("volume_id", "available_space")
+    every = volumes.where("is_healthy and available_space > 0").agg(
+        F.when(F.count("*") <= MAX_VOLUMES, F.array_sort(F.collect_list(one))).otherwise(F.raise_error(F.lit(f"more than {MAX_VOLUMES} volumes"))).alias("every")
+    )
+    rows = requests.withColumn("every", every.scalar()).withColumn("fit", F.filter("every", lambda v: (F.col("size") <= 0) | (v["available_space"] >= F.col("size"))))
     n = F.size("fit")
-    step = lambda t: F.pmod(t * 1664525 + 1013904223, F.lit(1 << 32))
-    a = F.col("fit")[F.pmod(F.col("ticket"), n).cast("int")]
-    b = F.col("fit")[F.pmod(step(F.col("ticket")), n).cast("int")]
-    pick = F.when(n == 0, F.lit(None)).when(b["available_space"] > a["available_space"], b["volume_id"]).otherwise(a["volume_id"])
-    return rows.select("request_id", pick.alias("volume_id"))
+    rows = rows.withColumn("i", F.when(n > 0, F.pmod(F.col("ticket"), n)).cast("int"))
+    # The generator's multiplier and increment, modulo 2^32.
+    step = F.pmod(F.pmod(F.col("ticket"), F.lit(1 << 32)) * 1103515245 + 12345, F.lit(1 << 32))
+    rows = rows.withColumn("j", F.when(n > 0, F.pmod(step, n)).cast("int")).withColumn("j", F.when(F.col("j") == F.col("i"), F.pmod(F.col("j") + 1, n)).otherwise(F.col("j")).cast("int"))
+    first, second = F.col("fit")[F.col("i")], F.col("fit")[F.col("j")]
+    leads = F.when(first["available_space"] >= second["available_space"], F.array("i", "j")).otherwise(F.array("j", "i"))
+    rest = F.filter(F.sequence(F.lit(0), n - 1), lambda x: (x != F.col("i")) & (x != F.col("j")))
+    order = F.array_distinct(F.concat(leads, rest))
+    return rows.select("request_id", F.when(n > 0, F.transform(order, lambda x: F.col("fit")[x]["volume_id"])).alias("volume_ids"))
 
 
 def status_counts(files: DataFrame) -> DataFrame:

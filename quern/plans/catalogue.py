@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
 from ..functions.time import retry_delay
-from ..operators import files as fl, projection as pj, quota as qt, reconcile as rc, statistics as st, watch as wt
+from ..operators import files as fl, journal as jn, projection as pj, quota as qt, reconcile as rc, statistics as st, watch as wt
 from ..schema import DIMENSIONS, TOTALS
-from .views import Twin, twin, view
+from . import fold_twin
+from .views import twin, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,7 +36,8 @@ def query(*views: str, sql: str | None = None):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
         if sql is not None:
             text = sql.strip()
-            ORACLE_SQL[f.__name__] = twin(*views) + (", " + text[5:] if text.startswith("WITH ") else " " + text)
+            recursive, own = text.startswith("WITH RECURSIVE "), text.removeprefix("WITH RECURSIVE ").removeprefix("WITH ")
+            ORACLE_SQL[f.__name__] = twin(*views, recursive=recursive) + (", " + own if own != text else " " + text)
         return f
 
     return register
@@ -97,58 +99,105 @@ def stats_series_cap(m):
     return st.capped(m, 1024)
 
 
-@query("measurements", sql="SELECT operation, count(*) AS batches, count(*) FILTER (value = 1) AS single_batches, count(*) FILTER (value > 1) AS multi_batches, cast(sum(value) AS BIGINT) AS records, max(value) AS largest FROM measurements GROUP BY operation")
-def stats_operation_log(m):
-    return st.operation_log_totals(m)
+@query("measurements", sql=f"""WITH k AS (SELECT *, time_bucket(INTERVAL '300 seconds', ts, TIMESTAMP '0001-01-01') AS bucket_start FROM measurements WHERE value <> 0 AND trim(name) <> ''),
+    s AS (SELECT bucket_start, name, {_D}, min(arrival) AS first, cast(sum(value) AS BIGINT) AS value FROM k WHERE bucket_start >= TIMESTAMP '{STATS_NOW}' - INTERVAL '{7 * 86400 + 300} seconds' GROUP BY bucket_start, name, {_D}) SELECT bucket_start, name, {_D}, value FROM s ORDER BY first LIMIT 300""")
+def stats_series_cap_after_prune(m):
+    """Series that are pruned take no place under the cap."""
+    return st.capped(m, 300, now=_ts(STATS_NOW), retention=7 * 86400)
 
 
-# --- journal and projection -------------------------------------------------------------------------
+_BOUNDS = [5.0, 50.0, 500.0, 5000.0]
+
 
+@query("measurements", sql="SELECT name, count(value) AS n, cast(sum(value) AS BIGINT) AS total, min(value) AS least, max(value) AS greatest, concat_ws(',', count(*) FILTER (value <= 5), count(*) FILTER (value > 5 AND value <= 50), count(*) FILTER (value > 50 AND value <= 500), count(*) FILTER (value > 500 AND value <= 5000), count(*) FILTER (value > 5000)) AS buckets FROM measurements GROUP BY name")
+def stats_instruments(m):
+    return st.instrument_totals(m, _BOUNDS).withColumn("buckets", F.concat_ws(",", F.col("buckets").cast("array<string>")))
 
-def _normal(p: str) -> str:
-    return f"""CASE WHEN trim(coalesce({p}, '')) = '' THEN '/' ELSE '/' || array_to_string(list_reduce(list_filter(string_split(replace({p}, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'),
-        lambda a, x: CASE WHEN x = '..' THEN a[:-2] ELSE list_append(a, x) END, []::VARCHAR[]), '/') END"""
 
+@query("measurements", sql="SELECT name, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM measurements GROUP BY name")
+def stats_quantiles(m):
+    return st.quantiles(m, [0.5, 0.95, 0.99], 1_000_000)
 
-def _folded(where: str = "true", copies: int = 1) -> str:
-    item = Twin.struct({c: c for c in ["sequence_number", "phase", *pj.EVENT_COLUMNS[1:]]})
-    phases = ", ".join(str(x) for x in range(2 * copies))
-    return f"""WITH twice AS (SELECT *, {_normal("directory_path")} AS directory, unnest([{phases}]) AS step FROM journal WHERE {where}),
-      grouped AS (SELECT tenant_id, file_key, list({item} ORDER BY sequence_number, step) AS events FROM (SELECT *, step % 2 AS phase FROM twice) GROUP BY tenant_id, file_key),
-      folded AS (SELECT tenant_id, file_key, {pj.fold(Twin)} AS state FROM grouped)"""
 
+_LINE = "'Statistics summary: Window=15d, WriteFiles=' || write_success_count || ', WriteMBps=' || printf('%.3f', write_bytes / 1024 / 1024 / {span}::DOUBLE) || ', WriteBytes=' || write_bytes || ', DequeuedFiles=' || dequeued_count || ', ReadFiles=' || read_count || ', CompletedFiles=' || completed_count || ', SqliteOps=' || persisted_operations || ', WatcherImportedFiles=' || imported_count || ', WatcherImportedBytes=' || imported_bytes"
 
-_ROW = ", ".join(f"state.{c} AS {c}" for c in pj.ROW)
-_FILES = f"SELECT tenant_id, file_key, {_ROW} FROM folded WHERE state.alive"
 
+@query("measurements", sql=_cells() + f", t AS (SELECT {_TOTALS} FROM c {_OVERLAP}) SELECT {_LINE.format(span=SPAN)} AS line FROM t")
+def stats_summary_line(m):
+    """The line of a window with measurements; one without has none."""
+    cells = st.recorded(m)
+    empty = st.snapshot_totals(st.overlapping(cells, _ts("1990-01-01 00:00:00"), _ts("1990-01-02 00:00:00")), 86400.0)
+    return st.summary_line(st.snapshot_totals(st.overlapping(cells, _ts(FROM), _ts(TO)), SPAN), "15d").unionByName(st.summary_line(empty, "15d"))
+
+
+@query("measurements", sql="SELECT operation, count(*) AS batches, count(*) FILTER (value = 1) AS single_batches, count(*) FILTER (value > 1) AS multi_batches, cast(sum(value) AS BIGINT) AS records, max(value) AS largest FROM measurements GROUP BY operation")
+def stats_operation_log(m):
+    return st.operation_log_totals(m)
 
-@query("journal", sql=f"{_folded()} {_FILES}")
+
+# --- journal and projection -------------------------------------------------------------------------
+
+
+_normal, _steps = fold_twin.normal, fold_twin.steps
+_ROW = ", ".join(pj.ROW)
+_FILES = f"SELECT t AS tenant_id, k AS file_key, {_ROW} FROM final WHERE alive"
+
+
+@query("journal", sql=f"{_steps()} {_FILES}")
 def projection_fold(j):
     return pj.projected_files(j)
 
 
-@query("journal", sql=f"{_folded()} SELECT tenant_id, state.status AS status, count(*) AS n, cast(sum(state.file_size) AS BIGINT) AS bytes, count(*) FILTER (state.status IN (0, 1, 2, 3, 4, 5)) AS active FROM folded WHERE state.alive GROUP BY tenant_id, state.status")
+@query("journal", sql=f"{_steps()} SELECT t AS tenant_id, status, count(*) AS n, cast(sum(file_size) AS BIGINT) AS bytes, count(*) FILTER (status IN (0, 1, 2, 3, 4, 5)) AS active FROM final WHERE alive GROUP BY ALL")
 def projection_status_counts(j):
     return fl.status_counts(pj.projected_files(j))
 
 
-@query("journal", sql=f"{_folded(copies=2)} {_FILES}")
+@query("journal", sql=f"{_steps(copies=2)} {_FILES}")
 def projection_duplicate_delivery(j):
     """Every event delivered twice in place."""
     return pj.projected_files(j.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sequence_number", F.col("sequence_number") * 2 + F.col("copy")).drop("copy"))
 
 
-@query("journal", sql=f"{_folded()} {_FILES}")
+@query("journal", sql=f"{_steps()} {_FILES}")
 def projection_snapshot_tail(j):
     """A snapshot of the first events, and the fold of the rest from there: as a full replay."""
-    return pj.projected_files(j.where("sequence_number > 400"), pj.folded(j.where("sequence_number <= 400")))
+    return pj.projected_files(j.where("sequence_number > 60"), pj.folded(j.where("sequence_number <= 60")))
+
+
+_UNKNOWN = "SELECT * REPLACE (CASE WHEN event_id % 301 = 7 THEN NULL ELSE physical_present END AS physical_present) FROM journal"
+_WAIT = """, w AS (SELECT t AS tenant_id, min(waits_at) AS deferred_at FROM final WHERE waits_at IS NOT NULL GROUP BY t), pl AS (SELECT tenant_id, sequence_number, (row_number() OVER (PARTITION BY tenant_id ORDER BY sequence_number) - 1) // 16 AS b FROM journal),
+    h AS (SELECT pl.tenant_id, deferred_at, b FROM pl JOIN w ON w.tenant_id = pl.tenant_id AND sequence_number = deferred_at), u AS (SELECT h.tenant_id, h.deferred_at, coalesce(max(sequence_number), 0) AS applied_until FROM h LEFT JOIN pl ON pl.tenant_id = h.tenant_id AND pl.b < h.b GROUP BY ALL)"""
+
+
+def _unknown(j: DataFrame) -> DataFrame:
+    return j.withColumn("physical_present", F.when(F.col("event_id") % 301 != 7, F.col("physical_present")))
 
 
-_STEPS = """, steps AS (SELECT tenant_id, x.seq AS seq, x.directory AS directory_path, x.d AS d FROM (SELECT tenant_id, unnest(state.deltas) AS x FROM folded)),
-  both_ AS (SELECT * FROM steps UNION ALL SELECT tenant_id, seq, tenant_id, d FROM steps)"""
+@query("journal", sql=f"{_steps(_UNKNOWN)}{_WAIT} SELECT * FROM u")
+def projection_deferred(j):
+    """Tenants whose batch of 16 records waits, as it would make a row of a file of unknown presence."""
+    return pj.deferred(_unknown(j), 16)
 
 
-@query("journal", sql=f"""{_folded()}{_STEPS} SELECT tenant_id, directory_path, list_reduce(list(d ORDER BY seq, d), lambda a, x: greatest(0, a + x), 0)::BIGINT AS current_count FROM both_ GROUP BY tenant_id, directory_path""")
+@query("journal", sql=f"{_steps(_UNKNOWN)}{_WAIT}, l AS (SELECT st.* FROM st LEFT JOIN u ON u.tenant_id = st.t WHERE u.tenant_id IS NULL OR seq <= applied_until QUALIFY row_number() OVER (PARTITION BY t, k ORDER BY n DESC) = 1) SELECT t AS tenant_id, k AS file_key, {_ROW} FROM l WHERE alive")
+def projection_until_deferred(j):
+    return pj.projected_until_deferred(_unknown(j), 16)
+
+
+@query("journal", "quotas", sql=f"""{_steps()}, f AS (SELECT t AS tenant_id, directory_path, status FROM final WHERE alive AND status IN (0, 1, 2, 3, 4, 5)), expected AS (SELECT tenant_id, directory_path, count(*) AS expected FROM f GROUP BY ALL UNION ALL SELECT tenant_id, tenant_id, count(*) FROM f GROUP BY tenant_id)
+    SELECT tenant_id, directory_path, coalesce(expected, 0) AS expected, coalesce(current_count, 0) AS current, coalesce(max_count, 0) AS max_count,
+    CASE WHEN coalesce(expected, 0) = 0 AND coalesce(max_count, 0) = 0 AND directory_path <> tenant_id THEN 'remove' WHEN current_count IS NULL OR coalesce(expected, 0) <> current_count THEN 'set' ELSE 'keep' END AS action FROM expected FULL JOIN quotas USING (tenant_id, directory_path)""")
+def projection_rebuild(j, q):
+    """Rebuilt from a snapshot and the tail behind it, and what then becomes of the quota rows."""
+    return pj.rebuilt(j, pj.folded(j.where("sequence_number <= 60")), 60, q)[1]
+
+
+_STEPS = """, steps AS (SELECT t AS tenant_id, seq, n, plus_in AS directory_path, 1 AS d FROM st WHERE plus_in IS NOT NULL UNION ALL SELECT t, seq, n, minus_in, -1 FROM st WHERE minus_in IS NOT NULL),
+  both_ AS (SELECT * FROM steps UNION ALL SELECT tenant_id, seq, n, tenant_id, d FROM steps)"""
+
+
+@query("journal", sql=f"""{_steps()}{_STEPS} SELECT tenant_id, directory_path, list_reduce(list(d ORDER BY seq, d), lambda a, x: greatest(0, a + x), 0)::BIGINT AS current_count FROM both_ GROUP BY tenant_id, directory_path""")
 def quota_event_sourced(j):
     return pj.quota_counts(j)
 
@@ -161,9 +210,30 @@ def journal_tenants(j):
 _EVENT = "tenant_id, sequence_number, file_key, event_type, occurred_at"
 
 
-@query("journal", sql=f"SELECT {_EVENT} FROM journal WHERE tenant_id = 'tenant-002' AND sequence_number > 50 ORDER BY sequence_number LIMIT 64")
+_OFFSETS = """o AS (SELECT *, 24 + length(file_key) + length(physical_path) AS bytes, sum(24 + length(file_key) + length(physical_path)) OVER (PARTITION BY tenant_id ORDER BY sequence_number) AS end_offset FROM journal)"""
+
+
+def _placed(j: DataFrame) -> DataFrame:
+    return jn.with_offsets(j.withColumn("record_bytes", 24 + F.length("file_key") + F.length("physical_path")))
+
+
+@query("journal", sql=f"WITH {_OFFSETS} SELECT {_EVENT} FROM o WHERE tenant_id = 'tenant-002' AND end_offset > 750 ORDER BY sequence_number LIMIT 64")
 def journal_read_batch(j):
-    return j.where("tenant_id = 'tenant-002' and sequence_number > 50").orderBy("sequence_number").limit(64).select(*_EVENT.split(", "))
+    """From an offset inside a record: that record is the first."""
+    return jn.read_batch(_placed(j), "tenant-002", 750, 64)[0].select(*_EVENT.split(", "))
+
+
+@query("journal", sql=f"""WITH {_OFFSETS}, w AS (SELECT * FROM (VALUES ('inside', 'tenant-002', 777, 300, 5), ('before the base', 'tenant-003', 0, 400, 3), ('behind the end', 'tenant-004', 99999999, 0, 5), ('to the end', 'tenant-005', 0, 0, 1000000), ('no journal', 'nobody', 500, 0, 5)) v(name, tenant, off, base, most)),
+    b AS (SELECT name, greatest(off, base) AS off, end_offset, row_number() OVER (PARTITION BY name ORDER BY end_offset) AS r, most, max(end_offset) OVER (PARTITION BY name) AS last_of_rest FROM w LEFT JOIN o ON o.tenant_id = tenant AND end_offset > greatest(off, base))
+    SELECT name, cast(CASE WHEN max(last_of_rest) IS NULL THEN least(max(off), coalesce((SELECT max(end_offset) FROM o JOIN w ON o.tenant_id = w.tenant WHERE w.name = b.name), (SELECT max(base) FROM w WHERE w.name = b.name))) ELSE max(end_offset) FILTER (r <= most) END AS BIGINT) AS next_offset,
+      coalesce(max(end_offset) FILTER (r <= most) >= max(last_of_rest), TRUE) AS reached_eof FROM b GROUP BY name""")
+def journal_read_state(j):
+    """Where a batch ends and whether that is the end, for offsets inside a record, before the base, behind the end, and a tenant without a journal."""
+    placed, out = _placed(j), None
+    for name, tenant, offset, base, most in (("inside", "tenant-002", 777, 300, 5), ("before the base", "tenant-003", 0, 400, 3), ("behind the end", "tenant-004", 99_999_999, 0, 5), ("to the end", "tenant-005", 0, 0, 1_000_000), ("no journal", "nobody", 500, 0, 5)):
+        one = jn.read_batch(placed, tenant, offset, most, base)[1].select(F.lit(name).alias("name"), "next_offset", "reached_eof")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _GAPS = """g AS (SELECT *, max(sequence_number) OVER (PARTITION BY tenant_id ORDER BY sequence_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM journal WHERE sequence_number > 0)"""
@@ -174,40 +244,33 @@ def journal_gap_audit(j):
     return pj.sequence_gaps(j)
 
 
-@query("journal", sql=f"""WITH {_GAPS}, gaps AS (SELECT tenant_id, max(sequence_number) AS gap_observed, max(last + 1) AS gap_expected FROM g WHERE sequence_number <= 300 AND last > 0 AND sequence_number > last + 1 GROUP BY tenant_id),
-    t AS (SELECT tenant_id, max(sequence_number) AS tail_sequence, max(sequence_number) FILTER (sequence_number <= 300) AS last_projected FROM journal GROUP BY tenant_id)
+@query("journal", sql=f"""WITH {_GAPS}, gaps AS (SELECT tenant_id, max(sequence_number) AS gap_observed, max(last + 1) AS gap_expected FROM g WHERE sequence_number <= 80 AND last > 0 AND sequence_number > last + 1 GROUP BY tenant_id),
+    t AS (SELECT tenant_id, max(sequence_number) AS tail_sequence, max(sequence_number) FILTER (sequence_number <= 80) AS last_projected FROM journal GROUP BY tenant_id)
     SELECT tenant_id, tail_sequence, last_projected, greatest(0, tail_sequence - coalesce(last_projected, 0)) AS lag, gap_observed IS NOT NULL AS gap_detected, gap_expected, gap_observed FROM t LEFT JOIN gaps USING (tenant_id)""")
 def journal_lag_state(j):
-    return pj.tenant_state(j, 300)
+    return pj.tenant_state(j, 80)
 
 
 @query("journal", sql=f"""WITH bad AS (SELECT tenant_id, min(sequence_number) AS first FROM journal WHERE event_id % 997 = 5 GROUP BY tenant_id)
     SELECT {_EVENT} FROM journal LEFT JOIN bad USING (tenant_id) WHERE first IS NULL OR sequence_number < first""")
 def journal_corrupt_prefix(j):
     """Records before a tenant's first bad one; from there on nothing is read."""
-    from ..operators.journal import valid_prefix
-
-    return valid_prefix(j, F.col("event_id") % 997 == 5).select(*_EVENT.split(", "))
+    return jn.valid_prefix(j, F.col("event_id") % 997 == 5).select(*_EVENT.split(", "))
 
 
 @query("journal", sql="""WITH o AS (SELECT *, 24 + length(file_key) + length(physical_path) AS bytes FROM journal),
     c AS (SELECT tenant_id, sequence_number, sum(bytes) OVER (PARTITION BY tenant_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS end_offset, bytes FROM o)
-    SELECT tenant_id, cast(end_offset - bytes AS BIGINT) AS start_offset, cast(end_offset AS BIGINT) AS end_offset, sequence_number FROM c WHERE end_offset > 5000""")
+    SELECT tenant_id, cast(end_offset - bytes AS BIGINT) AS start_offset, cast(end_offset AS BIGINT) AS end_offset, sequence_number FROM c WHERE end_offset > 1000""")
 def journal_compaction(j):
     """Records behind a processed offset with their logical offsets, which compaction doesn't change."""
-    from ..operators.journal import compacted, with_offsets
-
-    sized = j.withColumn("record_bytes", 24 + F.length("file_key") + F.length("physical_path"))
-    return compacted(with_offsets(sized), 5000).select("tenant_id", "start_offset", "end_offset", "sequence_number")
+    return jn.compacted(_placed(j), 1000).select("tenant_id", "start_offset", "end_offset", "sequence_number")
 
 
 @query("journal", sql="""WITH o AS (SELECT *, 24 + length(file_key) + length(physical_path) AS bytes FROM journal),
     c AS (SELECT tenant_id, sum(bytes) OVER (PARTITION BY tenant_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS end_offset FROM o)
-    SELECT tenant_id, cast(coalesce(max(end_offset) FILTER (end_offset <= 7777), 0) AS BIGINT) AS normalized_offset FROM c GROUP BY tenant_id""")
+    SELECT tenant_id, cast(coalesce(max(end_offset) FILTER (end_offset <= 777), 0) AS BIGINT) AS normalized_offset FROM c GROUP BY tenant_id""")
 def journal_offset_normalized(j):
-    from ..operators.journal import normalized_offset, with_offsets
-
-    return normalized_offset(with_offsets(j.withColumn("record_bytes", 24 + F.length("file_key") + F.length("physical_path"))), 7777)
+    return jn.normalized_offset(_placed(j), 777)
 
 
 # --- quotas -----------------------------------------------------------------------------------------
@@ -228,6 +291,50 @@ def quota_reconcile_actions(f, q):
     return qt.reconciled(f, q)
 
 
+_OLD = "1996-01-01 00:00:00"
+
+
+def _dated(q: DataFrame) -> DataFrame:
+    return q.withColumn("last_updated", _ts(_OLD)).withColumn("created_at", _ts(_OLD))
+
+
+@query("files", "quotas", sql=_EXPECTED + f""" SELECT tenant_id, directory_path, coalesce(expected, 0) AS current_count, coalesce(max_count, 0) AS max_count, coalesce(enabled, FALSE) AS enabled,
+    CASE WHEN current_count = coalesce(expected, 0) THEN TIMESTAMP '{_OLD}' ELSE TIMESTAMP '{NOW}' END AS last_updated, CASE WHEN current_count IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{_OLD}' END AS created_at
+    FROM expected FULL JOIN quotas USING (tenant_id, directory_path) WHERE NOT (coalesce(expected, 0) = 0 AND coalesce(max_count, 0) = 0 AND directory_path <> tenant_id)""")
+def quota_reconciled_table(f, q):
+    return qt.applied(_dated(q), qt.reconciled(f, q), _ts(NOW))
+
+
+@query("files", "quotas", sql="""WITH live AS (SELECT tenant_id, '/' AS directory_path, count(*) AS live_count FROM files WHERE status = 0 GROUP BY tenant_id)
+    SELECT tenant_id, directory_path, coalesce(live_count, current_count) AS current_count, coalesce(max_count, 0) AS max_count, coalesce(enabled, FALSE) AS enabled FROM quotas FULL JOIN live USING (tenant_id, directory_path)""")
+def quota_live_counts(f, q):
+    """Stored rows under the counts that are live."""
+    live = f.where("status = 0").groupBy("tenant_id").agg(F.count("*").alias("live_count")).withColumn("directory_path", F.lit("/"))
+    return qt.overridden(q, live)
+
+
+@query("quotas", "tenants", sql=f"""WITH ch AS (SELECT tenant_id, tenant_id AS directory_path, CASE WHEN status = 2 THEN NULL ELSE tenant_limit END AS new_max FROM tenants UNION ALL SELECT tenant_id, '/stale', 7 FROM tenants)
+    SELECT coalesce(q.tenant_id, ch.tenant_id) AS tenant_id, coalesce(q.directory_path, ch.directory_path) AS directory_path, coalesce(current_count, 0) AS current_count, CASE WHEN ch.tenant_id IS NULL THEN max_count ELSE coalesce(new_max, 0) END AS max_count,
+      CASE WHEN ch.tenant_id IS NULL THEN enabled WHEN ch.directory_path = ch.tenant_id THEN coalesce(new_max, 0) > 0 ELSE TRUE END AS enabled,
+      CASE WHEN ch.tenant_id IS NULL THEN TIMESTAMP '{_OLD}' ELSE TIMESTAMP '{NOW}' END AS last_updated, CASE WHEN q.tenant_id IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{_OLD}' END AS created_at
+    FROM quotas q FULL JOIN ch ON q.tenant_id = ch.tenant_id AND q.directory_path = ch.directory_path WHERE q.tenant_id IS NOT NULL OR new_max IS NOT NULL""")
+def quota_set_limits(q, t):
+    """Limits of tenants set, or taken away from disabled ones, and of one directory each."""
+    own = t.select("tenant_id", F.col("tenant_id").alias("directory_path"), F.when(F.col("status") != 2, F.col("tenant_limit")).alias("new_max"))
+    return qt.with_limits(_dated(q), own.unionByName(t.select("tenant_id", F.lit("/stale").alias("directory_path"), F.lit(7).cast("bigint").alias("new_max"))), _ts(NOW))
+
+
+_SHARDS = "CASE WHEN regexp_matches(key, '^[0-9a-fA-F]{32}$') THEN CASE WHEN lower(d[1]) = lower(key[1:2]) THEN CASE WHEN lower(d[2]) = lower(key[3:4]) THEN CASE WHEN lower(d[3]) = lower(key[5:6]) THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END ELSE 0 END"
+# Below /mnt/volume/tenant; the name is the last segment.
+_ON_DISK = f"""disk AS (SELECT *, string_split(path, '/') AS s, regexp_replace(s[-1], '\\.[^.]*$', '') AS key, s[5:-2] AS d, '/' || array_to_string(d[{_SHARDS} + 1:], '/') AS recovered FROM listing)"""
+
+
+@query("listing", sql=f"""WITH {_ON_DISK}, c AS (SELECT tenant_id, recovered, count(*) AS current_count FROM disk WHERE presence <> 'missing' AND key <> '' GROUP BY ALL)
+    SELECT tenant_id, recovered AS directory_path, current_count FROM c UNION ALL SELECT tenant_id, tenant_id, cast(sum(current_count) AS BIGINT) FROM c GROUP BY tenant_id""")
+def quota_physical_counts(l):  # noqa: E741
+    return qt.physical_counts(l, F.concat(F.lit("/mnt/"), "volume_id", F.lit("/"), "tenant_id"))
+
+
 @query("quotas", sql="SELECT tenant_id, directory_path, NOT enabled OR max_count = 0 OR current_count + 3 < max_count AS can_add FROM quotas")
 def quota_can_add(q):
     return qt.can_add(q, F.lit(3))
@@ -238,15 +345,32 @@ def quota_effective_limit(t):
     return qt.effective_limits(t, 25)
 
 
-@query("journal", sql="""WITH k AS (SELECT tenant_id AS key, sequence_number AS seq, CASE WHEN event_type IN (1, 2) THEN 'reserve' WHEN event_type IN (4, 5) THEN 'accept' ELSE 'release' END AS kind FROM journal),
-    f AS (SELECT key, list_reduce(list(kind ORDER BY seq), lambda s, x: CASE
-      WHEN x = 'reserve' THEN CASE WHEN s.p + s.r < 40 THEN {'p': s.p, 'r': s.r + 1, 'x': s.x} ELSE {'p': s.p, 'r': s.r, 'x': s.x + 1} END
-      WHEN x = 'accept' THEN {'p': s.p + 1, 'r': greatest(0, s.r - 1), 'x': s.x}
-      WHEN s.r > 0 THEN {'p': s.p, 'r': s.r - 1, 'x': s.x} ELSE {'p': greatest(0, s.p - 1), 'r': s.r, 'x': s.x} END, {'p': 0, 'r': 0, 'x': 0}) AS s FROM k GROUP BY key)
-    SELECT key, s.p AS projected, s.r AS reserved, s.x AS rejected FROM f""")
+@query("journal", sql="""WITH k AS (SELECT tenant_id AS key, sequence_number AS seq, CASE WHEN event_type IN (1, 2) THEN 'reserve' WHEN event_type IN (4, 5) THEN 'accept' WHEN event_type = 6 THEN 'delete' WHEN event_type = 8 THEN 'undo_delete'
+        WHEN event_type = 7 THEN CASE WHEN event_id % 2 = 0 THEN 'undo_accept' ELSE 'undo_accept_reserved' END ELSE 'release' END AS kind FROM journal),
+    f AS (SELECT key, list_reduce(list(kind ORDER BY seq), lambda s, x: CASE x
+      WHEN 'reserve' THEN {'p': s.p, 'r': s.r + CASE WHEN s.p + s.r < 12 THEN 1 ELSE 0 END, 'x': s.x + CASE WHEN s.p + s.r < 12 THEN 0 ELSE 1 END}
+      WHEN 'accept' THEN {'p': s.p + 1, 'r': greatest(0, s.r - 1), 'x': s.x}
+      WHEN 'delete' THEN {'p': greatest(0, s.p - 1), 'r': s.r, 'x': s.x} WHEN 'undo_delete' THEN {'p': s.p + 1, 'r': s.r, 'x': s.x}
+      WHEN 'undo_accept' THEN {'p': greatest(0, s.p - 1), 'r': s.r, 'x': s.x} WHEN 'undo_accept_reserved' THEN {'p': greatest(0, s.p - 1), 'r': s.r + 1, 'x': s.x}
+      ELSE {'p': CASE WHEN s.r > 0 THEN s.p ELSE greatest(0, s.p - 1) END, 'r': greatest(0, s.r - 1), 'x': s.x} END, {'p': 0, 'r': 0, 'x': 0}) AS s FROM k GROUP BY key)
+    SELECT key, cast(s.p AS BIGINT) AS projected, cast(s.r AS BIGINT) AS reserved, cast(s.x AS BIGINT) AS rejected FROM f""")
 def quota_reservations(j):
-    kind = F.when(F.col("event_type").isin(1, 2), "reserve").when(F.col("event_type").isin(4, 5), "accept").otherwise("release")
-    return qt.reservations(j.select(F.col("tenant_id").alias("key"), F.col("sequence_number").alias("seq"), kind.alias("kind")), 40)
+    undo = F.when(F.col("event_id") % 2 == 0, "undo_accept").otherwise("undo_accept_reserved")
+    kind = F.when(F.col("event_type").isin(1, 2), "reserve").when(F.col("event_type").isin(4, 5), "accept").when(F.col("event_type") == 6, "delete").when(F.col("event_type") == 8, "undo_delete").when(F.col("event_type") == 7, undo).otherwise("release")
+    return qt.reservations(j.select(F.col("tenant_id").alias("key"), F.col("sequence_number").alias("seq"), kind.alias("kind")), 12)
+
+
+@query("journal", sql="""WITH k AS (SELECT tenant_id || '/' || volume_id AS key, sequence_number AS seq, CASE WHEN event_type IN (1, 2, 4) THEN 'increment' WHEN event_type IN (3, 5, 6) THEN 'decrement' ELSE 'force' END AS kind,
+        CASE WHEN volume_id = 'vol-3' THEN 0 ELSE 2 END AS most, volume_id <> 'vol-2' AS enabled FROM journal),
+    f AS (SELECT key, list_reduce(list({'k': kind, 'm': most, 'e': enabled} ORDER BY seq), lambda s, x: CASE
+      WHEN x.k = 'decrement' THEN {'c': CASE WHEN s.c > 0 THEN s.c - 1 ELSE 0 END, 'x': s.x}
+      WHEN x.k = 'increment' AND x.e AND x.m > 0 AND s.c >= x.m THEN {'c': s.c, 'x': s.x + 1} ELSE {'c': s.c + 1, 'x': s.x} END, {'c': 0, 'x': 0}) AS s FROM k GROUP BY key)
+    SELECT key, cast(s.c AS BIGINT) AS current_count, cast(s.x AS BIGINT) AS rejected FROM f""")
+def quota_increments(j):
+    """Increments that a limit may reject, decrements and forced increments of a directory each."""
+    kind = F.when(F.col("event_type").isin(1, 2, 4), "increment").when(F.col("event_type").isin(3, 5, 6), "decrement").otherwise("force")
+    most, enabled = F.when(F.col("volume_id") == "vol-3", 0).otherwise(2), F.col("volume_id") != "vol-2"
+    return qt.counted(j.select(F.concat_ws("/", "tenant_id", "volume_id").alias("key"), F.col("sequence_number").alias("seq"), kind.alias("kind"), most.alias("max_count"), enabled.alias("enabled")))
 
 
 # --- file table -------------------------------------------------------------------------------------
@@ -309,25 +433,61 @@ def sched_retry_delay(f):
 
 
 @query("files", sql=f"""SELECT tenant_id, file_key, CASE WHEN retry_count + 1 >= 3 THEN 4 ELSE 0 END AS status, retry_count + 1 AS retry_count,
-    CASE WHEN retry_count + 1 < 3 THEN TIMESTAMP '{NOW}' + to_seconds(least(5.0 * pow(2.0, retry_count), 300.0)) END AS available_at FROM files WHERE status = 1""")
+    CASE WHEN retry_count + 1 < 3 THEN TIMESTAMP '{NOW}' + to_seconds(least(5.0 * pow(2.0, retry_count), 300.0)) END AS available_at, processing_start_time AS released_lease FROM files WHERE status = 1""")
 def sched_fail_transition(f):
-    return _cols(fl.failed_once_more(f, _ts(NOW)), "tenant_id, file_key, status, retry_count, available_at")
+    return _cols(fl.failed_once_more(f, _ts(NOW)), "tenant_id, file_key, status, retry_count, available_at, released_lease")
 
 
 _LATE = f"status = 1 AND processing_start_time < TIMESTAMP '{NOW}' - INTERVAL 1 DAY"
+_AWAY = f"TIMESTAMP '{NOW}' AS available_at, processing_start_time AS released_lease"
 
 
-@query("files", sql=f"SELECT tenant_id, file_key, 0 AS status, TIMESTAMP '{NOW}' AS available_at, processing_start_time AS released_lease FROM files WHERE {_LATE}")
+@query("files", sql=f"SELECT tenant_id, file_key, 0 AS status, {_AWAY} FROM files WHERE {_LATE} ORDER BY processing_start_time, file_key LIMIT 500")
 def sched_timeout_recovery(f):
-    return _cols(fl.timed_out(f, _ts(NOW), 86400), "tenant_id, file_key, status, available_at, released_lease")
+    """The 500 oldest; the batch is the feature."""
+    return _cols(fl.timed_out(f, _ts(NOW), 86400, 500), "tenant_id, file_key, status, available_at, released_lease")
+
 
+@query("files", sql=f"SELECT tenant_id, batch, count(*) AS n, min(s) AS first, max(s) AS last FROM (SELECT tenant_id, processing_start_time AS s, (row_number() OVER (PARTITION BY tenant_id ORDER BY processing_start_time) - 1) // 20 AS batch FROM files WHERE {_LATE}) GROUP BY ALL")
+def sched_timeout_batches(f):
+    """All timed-out rows of each tenant in batches of 20, oldest first."""
+    rows = fl.timed_out_by_tenant(f, _ts(NOW), 86400, 20)
+    return rows.groupBy("tenant_id", "batch").agg(F.count("*").alias("n"), F.min("released_lease").alias("first"), F.max("released_lease").alias("last"))
 
-@query("volumes", "files", sql="""WITH v AS (SELECT list({'volume_id': volume_id, 'available_space': available_space} ORDER BY volume_id) AS a FROM volumes WHERE is_healthy AND available_space > 0),
-    r AS (SELECT file_key AS request_id, retry_count + 7 * status + file_size % 1000 AS ticket, list_filter(a, lambda x: x.available_space >= file_size % 400000) AS fit FROM files, v),
-    p AS (SELECT *, fit[1 + ticket % len(fit)] AS x, fit[1 + ((ticket * 1664525 + 1013904223) % 4294967296) % len(fit)] AS y FROM r)
-    SELECT request_id, CASE WHEN len(fit) = 0 THEN NULL WHEN y.available_space > x.available_space THEN y.volume_id ELSE x.volume_id END AS volume_id FROM p""")
+
+@query("files", sql=f"SELECT tenant_id, file_key, 1 AS status, TIMESTAMP '{NOW}' AS processing_start_time, available_at FROM files WHERE {_READY} QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, file_key) <= 3")
+def sched_lease_next(f):
+    return _cols(fl.leased_next(f, _ts(NOW), 3), "tenant_id, file_key, status, processing_start_time, available_at")
+
+
+@query("files", sql=f"""WITH own AS (SELECT * FROM files WHERE NOT (status = 0 AND tenant_id >= 'tenant-008')),
+    a AS (SELECT tenant_id, file_key FROM own WHERE {_READY} QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, file_key) <= 2),
+    b AS (SELECT * FROM own WHERE {_LATE} AND tenant_id NOT IN (SELECT tenant_id FROM a) QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY processing_start_time, file_key) <= 5),
+    c AS (SELECT tenant_id, file_key FROM b QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, file_key) <= 2)
+    SELECT tenant_id, file_key, 1 AS status, TIMESTAMP '{NOW}' AS processing_start_time FROM (SELECT * FROM a UNION ALL SELECT * FROM c)""")
+def sched_reclaim_and_lease(f):
+    """Tenants from tenant-008 on have nothing pending: their oldest timed-out rows are reclaimed first."""
+    own = f.where("not (status = 0 and tenant_id >= 'tenant-008')")
+    return _cols(fl.leased_after_reclaim(own, _ts(NOW), 86400, 2, 5), "tenant_id, file_key, status, processing_start_time")
+
+
+@query("files", sql="SELECT tenant_id, file_key, processing_start_time FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, file_key ORDER BY ordinal) AS r FROM (SELECT tenant_id, md5(cast(file_size % 500 AS VARCHAR)) AS file_key, processing_start_time, file_key AS ordinal FROM files WHERE processing_start_time IS NOT NULL)) WHERE r = 1")
+def lease_rollback_once(f):
+    """A list of leases to take back that names files several times: the first of each."""
+    leases = f.where("processing_start_time is not null").select("tenant_id", F.md5((F.col("file_size") % 500).cast("string")).alias("file_key"), "processing_start_time", F.col("file_key").alias("ordinal"))
+    return fl.first_of_each(leases, ["tenant_id", "file_key"], "ordinal").select("tenant_id", "file_key", "processing_start_time")
+
+
+@query("volumes", "files", sql="""WITH v AS (SELECT list({'id': volume_id, 'space': available_space} ORDER BY volume_id) AS a FROM volumes WHERE is_healthy AND available_space > 0),
+    r AS (SELECT file_key AS request_id, retry_count + 7 * status + file_size % 1000 AS ticket, file_size % 400000 AS need FROM files),
+    f AS (SELECT request_id, ticket, list_filter(a, lambda x: need <= 0 OR x.space >= need) AS fit FROM r, v),
+    p AS (SELECT *, len(fit) AS n, CASE WHEN len(fit) > 0 THEN ticket % len(fit) END AS i, CASE WHEN len(fit) > 0 THEN ((ticket * 1103515245 + 12345) % 4294967296) % len(fit) END AS j0 FROM f),
+    q AS (SELECT *, CASE WHEN j0 = i THEN (j0 + 1) % n ELSE j0 END AS j FROM p),
+    o AS (SELECT *, CASE WHEN fit[i + 1].space >= fit[j + 1].space THEN i ELSE j END AS lead FROM q)
+    SELECT request_id, array_to_string(CASE WHEN n = 1 THEN [fit[1].id] WHEN n > 1 THEN list_concat([fit[lead + 1].id, fit[(i + j - lead) + 1].id], [x.id for x in fit if x.id <> fit[i + 1].id and x.id <> fit[j + 1].id]) END, ',') AS volume_ids FROM o""")
 def sched_volume_choice(v, f):
-    return fl.volume_choice(v, f.select(F.col("file_key").alias("request_id"), (F.col("retry_count") + 7 * F.col("status") + F.col("file_size") % 1000).alias("ticket"), (F.col("file_size") % 400000).alias("size")))
+    chosen = fl.volume_choice(v, f.select(F.col("file_key").alias("request_id"), (F.col("retry_count") + 7 * F.col("status") + F.col("file_size") % 1000).alias("ticket"), (F.col("file_size") % 400000).alias("size")))
+    return chosen.withColumn("volume_ids", F.array_join("volume_ids", ","))
 
 
 @query("files", sql=f"SELECT {_F}, completed_at FROM files WHERE status = 2 AND completed_at < TIMESTAMP '{NOW}' AND delete_succeeded_at IS NULL ORDER BY completed_at, file_key LIMIT 500")
@@ -377,15 +537,41 @@ def dead_letter_paths(f):
     return f.where("status = 7").select("file_key", paths.dead_letter_path(F.lit("/dead"), F.col("tenant_id"), F.col("dead_lettered_at"), F.col("file_key"), F.col("file_extension")).alias("path"))
 
 
-@query("files", sql=f"""WITH c AS (SELECT tenant_id, file_key, CASE WHEN status % 2 = 0 THEN 'complete' ELSE 'fail' END AS kind, CASE WHEN retry_count % 2 = 0 THEN processing_start_time ELSE TIMESTAMP '1992-01-01' END AS lease FROM files WHERE retry_count < 4
-      UNION ALL SELECT tenant_id, 'none-' || file_key, 'fail', created_at FROM files WHERE retry_count = 4)
-    SELECT c.tenant_id, c.file_key, kind, CASE WHEN status IS NULL THEN CASE WHEN kind = 'complete' THEN 'idempotent' ELSE 'missing' END WHEN status IN (2, 5, 6) THEN 'idempotent'
-      WHEN status = 1 AND processing_start_time = lease THEN 'applied' WHEN kind = 'fail' AND status IN (0, 3, 4) AND last_failed_at >= lease THEN 'idempotent' ELSE 'mismatch' END AS result
-    FROM c LEFT JOIN files USING (tenant_id, file_key)""")
+_COMMANDS = """c AS (SELECT tenant_id, file_key, x.kind AS kind, CASE x.which WHEN 0 THEN processing_start_time WHEN 1 THEN released_lease ELSE TIMESTAMP '1992-01-01' END AS lease
+      FROM files, (VALUES ('complete', 0), ('complete', 1), ('complete', 2), ('fail', 0), ('fail', 1), ('fail', 2)) x(kind, which)
+      UNION ALL SELECT tenant_id, 'none-' || file_key, CASE WHEN retry_count % 2 = 0 THEN 'complete' ELSE 'fail' END, created_at FROM files)"""
+_RESULT = """CASE
+      WHEN status IS NULL AND kind = 'complete' THEN 'idempotent'
+      WHEN status IS NULL THEN 'mismatch'
+      WHEN kind = 'complete' AND status IN (2, 5, 6) THEN 'idempotent'
+      WHEN kind = 'complete' AND processing_start_time IS NULL AND released_lease = lease AND (status IN (4, 7) OR (status = 0 AND (last_failed_at IS NOT NULL OR available_at IS NOT NULL OR last_error <> ''))) THEN 'late'
+      WHEN kind = 'fail' AND status IN (2, 5, 6) THEN CASE WHEN processing_start_time IS NULL AND released_lease = lease THEN 'idempotent' ELSE 'mismatch' END
+      WHEN kind = 'fail' AND status IN (0, 4, 7) AND processing_start_time IS NULL AND released_lease = lease THEN 'idempotent'
+      WHEN status = 1 AND processing_start_time = lease THEN 'applied' ELSE 'mismatch' END"""
+
+
+def _commands(f: DataFrame) -> DataFrame:
+    """For each row both kinds of commands under its lease, under its released one and under a wrong one, and one for a row that isn't there."""
+    lease = [F.col("processing_start_time"), F.col("released_lease"), _ts("1992-01-01 00:00:00")]
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), x.alias("lease")) for kind in ("complete", "fail") for x in lease]))
+    none = f.select("tenant_id", F.concat(F.lit("none-"), "file_key").alias("file_key"), F.when(F.col("retry_count") % 2 == 0, "complete").otherwise("fail").alias("kind"), F.col("created_at").alias("lease"))
+    return f.select("tenant_id", "file_key", each.alias("x")).select("tenant_id", "file_key", "x.kind", "x.lease").unionByName(none)
+
+
+@query("files", sql=f"WITH {_COMMANDS} SELECT c.tenant_id, c.file_key, kind, lease, {_RESULT} AS result FROM c LEFT JOIN files USING (tenant_id, file_key)")
 def lease_classification(f):
-    some = f.where("retry_count < 4").select("tenant_id", "file_key", F.expr("CASE WHEN status % 2 = 0 THEN 'complete' ELSE 'fail' END").alias("kind"), F.when(F.col("retry_count") % 2 == 0, F.col("processing_start_time")).otherwise(_ts("1992-01-01 00:00:00")).alias("lease"))
-    none = f.where("retry_count = 4").select("tenant_id", F.concat(F.lit("none-"), "file_key").alias("file_key"), F.lit("fail").alias("kind"), F.col("created_at").alias("lease"))
-    return fl.lease_result(f, some.unionByName(none))
+    return fl.lease_result(f, _commands(f))
+
+
+@query("files", sql=f"WITH {_COMMANDS}, d AS (SELECT DISTINCT tenant_id, file_key, lease FROM (SELECT c.*, {_RESULT} AS result FROM c JOIN files USING (tenant_id, file_key) WHERE kind = 'complete') WHERE result IN ('applied', 'late')) SELECT tenant_id, file_key, 2 AS status, TIMESTAMP '{NOW}' AS completed_at, lease AS released_lease, CAST(NULL AS TIMESTAMP) AS processing_start_time, CAST(NULL AS TIMESTAMP) AS available_at, CAST(NULL AS VARCHAR) AS last_error FROM d")
+def command_complete(f):
+    """Completions under the row's lease, or late ones under a released lease."""
+    return _cols(fl.completed(f, _commands(f), _ts(NOW)), "tenant_id, file_key, status, completed_at, released_lease, processing_start_time, available_at, last_error")
+
+
+@query("files", sql=f"WITH {_COMMANDS}, d AS (SELECT DISTINCT tenant_id, file_key, lease FROM (SELECT c.*, {_RESULT} AS result FROM c JOIN files USING (tenant_id, file_key) WHERE kind = 'complete') WHERE result IN ('applied', 'late')) SELECT tenant_id, file_key, 4 AS event_type, TIMESTAMP '{NOW}' AS occurred_at, lease AS processing_start_time FROM d UNION ALL SELECT tenant_id, file_key, 5, TIMESTAMP '{NOW}', NULL FROM d")
+def command_complete_events(f):
+    return fl.completion_events(fl.completed(f, _commands(f), _ts(NOW)), _ts(NOW))
 
 
 @query("files", sql="SELECT tenant_id, file_key, CASE WHEN retry_count % 2 = 0 AND status IN (2, 5) THEN 'applied' ELSE 'rejected' END AS outcome FROM files")
@@ -404,10 +590,11 @@ def files_upsert_and_remove(f):
 
 # --- audits -----------------------------------------------------------------------------------------
 
-_LOST = """WITH lost AS (SELECT l.* FROM listing l LEFT JOIN files f ON f.tenant_id = l.tenant_id AND f.physical_path = l.path WHERE f.file_key IS NULL AND l.presence <> 'missing')"""
+_LOST = """WITH lost AS (SELECT l.* FROM listing l LEFT JOIN files f ON f.tenant_id = l.tenant_id AND f.physical_path = l.path WHERE f.file_key IS NULL AND l.presence <> 'missing' AND NOT regexp_matches(l.path, '/\\.[^./]*$'))"""
 
 
-@query("listing", "files", sql=_LOST + " SELECT tenant_id, regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS file_key, volume_id, path AS physical_path, '/Incoming' AS directory_path, length AS file_size, regexp_extract(path, '(\\.[^./]+)$', 1) AS file_extension, 0 AS status FROM lost")
+@query("listing", "files", sql=f"""WITH {_ON_DISK} SELECT l.tenant_id, key AS file_key, l.volume_id, path AS physical_path, recovered AS directory_path, length AS file_size, nullif(regexp_extract(path, '(\\.[^./]+)$', 1), '') AS file_extension, 0 AS status
+    FROM disk l LEFT JOIN files f ON f.tenant_id = l.tenant_id AND f.physical_path = l.path WHERE f.file_key IS NULL AND presence <> 'missing' AND key <> ''""")
 def orphan_files(l, f):  # noqa: E741
     return rc.orphan_files(l, f)
 
@@ -423,11 +610,29 @@ def orphan_metadata(f, l, v):  # noqa: E741
     return rc.orphan_metadata(f, l, v)
 
 
-@query("listing", "files", sql="""SELECT l.tenant_id, f.file_key, CASE WHEN l.status % 3 = 0 THEN upper(l.physical_path) WHEN l.status % 3 = 1 THEN l.physical_path || 'x' ELSE l.physical_path END AS physical_path,
-    CASE WHEN l.status % 3 = 1 THEN 'skip' ELSE 'correct_path' END AS resolution FROM files l JOIN files f USING (tenant_id, file_key)""")
+@query("listing", "files", sql="""WITH r AS (SELECT tenant_id, CASE WHEN file_size % 5 = 3 THEN 'other-' || file_key ELSE file_key END AS file_key, physical_path AS row_path,
+        CASE file_size % 5 WHEN 0 THEN upper(physical_path) WHEN 1 THEN physical_path || 'x' WHEN 2 THEN replace(physical_path, '/mnt', '/MNT') ELSE physical_path END AS physical_path FROM files),
+      here AS (SELECT tenant_id, path FROM listing WHERE presence = 'present' UNION ALL SELECT tenant_id, replace(path, '/mnt', '/MNT') FROM listing WHERE presence = 'missing')
+    SELECT r.tenant_id, r.file_key, r.physical_path, CASE WHEN f.file_key IS NULL THEN 'new' WHEN f.physical_path = r.physical_path THEN 'known'
+      WHEN lower(f.physical_path) = lower(r.physical_path) AND NOT EXISTS (SELECT 1 FROM here h WHERE h.tenant_id = r.tenant_id AND h.path = f.physical_path) AND EXISTS (SELECT 1 FROM here h WHERE h.tenant_id = r.tenant_id AND h.path = r.physical_path) THEN 'correct_path' ELSE 'skip' END AS resolution
+    FROM r LEFT JOIN files f ON f.tenant_id = r.tenant_id AND f.file_key = r.file_key""")
 def orphan_conflicts(l, f):  # noqa: E741
-    path = F.when(F.col("status") % 3 == 0, F.upper("physical_path")).when(F.col("status") % 3 == 1, F.concat("physical_path", F.lit("x"))).otherwise(F.col("physical_path"))
-    return rc.conflicts(f.select("tenant_id", "file_key", path.alias("physical_path")), f)
+    """Files under their row's path, under another one, and under the same one in another case, with the old one there or lost."""
+    kind, path = F.col("file_size") % 5, F.col("physical_path")
+    other = F.replace(path, F.lit("/mnt"), F.lit("/MNT"))
+    recovered = f.select("tenant_id", F.when(kind == 3, F.concat(F.lit("other-"), "file_key")).otherwise(F.col("file_key")).alias("file_key"), F.when(kind == 0, F.upper(path)).when(kind == 1, F.concat(path, F.lit("x"))).when(kind == 2, other).otherwise(path).alias("physical_path"))
+    moved = l.where("presence = 'missing'").select("tenant_id", F.replace("path", F.lit("/mnt"), F.lit("/MNT")).alias("path"), F.lit("present").alias("presence"))
+    return rc.conflicts(recovered, f, l.where("presence = 'present'").select("tenant_id", "path", "presence").unionByName(moved))
+
+
+@query("files", "volumes", "listing", sql="""WITH v AS (SELECT * FROM volumes WHERE volume_id <> 'vol-0'), here AS (SELECT tenant_id, path FROM listing WHERE presence = 'present' AND length % 3 > 0 UNION ALL SELECT tenant_id, upper(path) FROM listing WHERE presence = 'present' AND length % 3 = 0),
+    h AS (SELECT tenant_id, lower(path) AS folded, min(path) AS least FROM here GROUP BY ALL)
+    SELECT f.tenant_id, f.file_key, mount_path, CASE WHEN mount_path IS NOT NULL AND is_healthy AND least IS NOT NULL AND e.path IS NULL THEN least ELSE physical_path END AS physical_path,
+      CASE WHEN mount_path IS NULL THEN 'no volume' WHEN NOT is_healthy THEN 'unhealthy' WHEN least IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'corrected' ELSE 'ready' END AS status
+    FROM files f LEFT JOIN v USING (volume_id) LEFT JOIN h ON h.tenant_id = f.tenant_id AND folded = lower(physical_path) LEFT JOIN here e ON e.tenant_id = f.tenant_id AND e.path = physical_path""")
+def read_locations(f, v, l):  # noqa: E741
+    """Where rows are read: one volume isn't registered, and a third of the files lie under another case."""
+    return rc.read_locations(f, v.where("volume_id <> 'vol-0'"), l.withColumn("path", F.when(F.col("length") % 3 == 0, F.upper("path")).otherwise(F.col("path"))))
 
 
 @query("listing", "tenants", sql="SELECT DISTINCT tenant_id FROM listing WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants WHERE has_database)")
@@ -445,11 +650,27 @@ def capacity_totals(v):
     return rc.capacity(v)
 
 
-@query("listing", sql="""WITH dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM listing UNION SELECT DISTINCT '/mnt/empty/' || tenant_id FROM listing)
-    SELECT path FROM dirs WHERE path LIKE '/mnt/empty/%'""")
+@query("listing", sql="""WITH p AS (SELECT path, presence, string_split(path, '/') AS s, array_to_string(s[1:4], '/') AS root, lower(s[-1]) IN ('thumbs.db', '.ds_store', 'desktop.ini') AS junk FROM listing),
+    below AS (SELECT root, array_to_string(s[1:i], '/') AS path FROM p, LATERAL (SELECT unnest(range(4, len(s))) AS i)),
+    dirs AS (SELECT DISTINCT root, path FROM below UNION SELECT DISTINCT root, root || '/Empty' FROM p UNION SELECT DISTINCT root, root || '/Empty/inner' FROM p
+      UNION SELECT DISTINCT root, root || '/Deep' || repeat('/x', 20) FROM p WHERE presence = 'unknown' UNION SELECT DISTINCT root, root || '/Deep' FROM p),
+    held AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS path FROM p, LATERAL (SELECT unnest(range(1, len(s))) AS i) WHERE NOT junk AND presence <> 'missing'),
+    deep AS (SELECT DISTINCT root || '/Deep' AS path FROM p WHERE presence = 'unknown')
+    SELECT path FROM dirs WHERE len(string_split(path, '/')) - 4 BETWEEN 2 AND 20 AND path NOT IN (SELECT path FROM held) AND path NOT IN (SELECT path FROM deep)
+""")
 def empty_directory_sweep(l):  # noqa: E741
-    dirs = l.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).unionByName(l.select(F.concat(F.lit("/mnt/empty/"), "tenant_id").alias("path"))).distinct()
-    return rc.empty_directories(l, dirs)
+    """Folders of all files and some without any; tenants' roots and one level of shards stay, as does what lies above a folder too deep to look at."""
+    parts = F.split("path", "/")
+    root = F.array_join(F.slice(parts, 1, 4), "/")
+    up = l.select(root.alias("tenant_root"), F.explode(F.transform(F.sequence(F.lit(4), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path"))
+    named = lambda rows, end: rows.select(root.alias("tenant_root"), F.concat(root, F.lit(end)).alias("path"))
+    dirs = up.unionByName(named(l, "/Empty")).unionByName(named(l, "/Empty/inner")).unionByName(named(l.where("presence = 'unknown'"), "/Deep" + "/x" * 20)).unionByName(named(l, "/Deep"))
+    return rc.empty_directories(l, dirs.distinct().withColumn("sharding_depth", F.lit(1)))
+
+
+@query("listing", sql="SELECT tenant_id, count(*) AS files_removed, cast(sum(length) AS BIGINT) AS space_freed FROM listing WHERE path ILIKE '%.corrupted.%' AND presence <> 'missing' GROUP BY tenant_id")
+def corruption_backups(l):  # noqa: E741
+    return rc.corruption_backups(l)
 
 
 # --- paths and watched folders ----------------------------------------------------------------------
@@ -460,17 +681,31 @@ def path_normalize(f):
     return f.select("directory_path").distinct().withColumn("normalized", paths.normalized_directory(F.col("directory_path")))
 
 
-@query("files", sql="SELECT file_key, '/' AS recovered FROM files")
-def path_recover_logical_dir(f):
+@query("listing", sql=f"WITH {_ON_DISK} SELECT path, recovered FROM disk")
+def path_recover_logical_dir(l):  # noqa: E741
+    """Stored files, whose shards go, and others, whose folders stay."""
     root = F.concat(F.lit("/mnt/"), "volume_id", F.lit("/"), "tenant_id")
-    return f.select("file_key", paths.recovered_directory(F.col("physical_path"), root, F.col("file_key")).alias("recovered"))
+    return l.select("path", paths.recovered_directory(F.col("path"), root, paths.stem(F.col("path"))).alias("recovered"))
 
 
-@query("files", sql=f"""WITH n AS (SELECT *, {_normal("directory_path")} AS d FROM files)
-    SELECT file_key, '/mnt/' || volume_id || '/' || tenant_id || CASE WHEN d = '/' THEN '' ELSE d END || '/' || file_key[1:2] || '/' || file_key[3:4] || '/' || file_key || file_extension AS path FROM n""")
+@query("files", sql="""WITH k AS (SELECT file_key, n, CASE WHEN n < 8 THEN file_key[1:n] ELSE file_key END AS key, '/mnt/' || volume_id || '/' || tenant_id || '/' AS root, file_extension AS ext FROM files, (VALUES (1), (2), (3), (4), (5), (8)) v(n))
+    SELECT key, root || key || ext AS depth_0, root || rpad(key, 2, '0')[1:2] || '/' || key || ext AS depth_1, root || rpad(key, 4, '0')[1:2] || '/' || rpad(key, 4, '0')[3:4] || '/' || key || ext AS depth_2,
+      root || rpad(key, 2, '0')[1:2] || CASE WHEN len(key) > 2 THEN '/' || rpad(key, 4, '0')[3:4] ELSE '' END || CASE WHEN len(key) > 4 THEN '/' || rpad(key, 6, '0')[5:6] ELSE '' END || '/' || key || ext AS depth_3 FROM k""")
 def path_physical_build(f):
+    """Paths of whole and of short keys at every depth."""
+    key = F.when(F.col("n") < 8, F.substring("file_key", 1, F.col("n"))).otherwise(F.col("file_key"))
+    rows = f.withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3, 4, 5, 8))))).withColumn("key", key)
+    mount = F.concat(F.lit("/mnt/"), "volume_id")
+    return rows.select("key", *[paths.physical_path(mount, F.col("tenant_id"), F.col("key"), F.col("file_extension"), d).alias(f"depth_{d}") for d in range(4)])
+
+
+@query("listing", "volumes", sql="""WITH p AS (SELECT path, '/mnt/' || volume_id AS mount, string_split(path, '/') AS s FROM listing UNION ALL SELECT '/mnt/' || volume_id || '/loose.dat', '/mnt/' || volume_id, ['', 'mnt', volume_id, 'loose.dat'] FROM listing WHERE length = 0)
+    SELECT path, CASE WHEN len(s) >= 5 AND regexp_replace(s[-1], '\\.[^.]*$', '') <> '' THEN s[4] || '|' || regexp_replace(s[-1], '\\.[^.]*$', '') || '|' || regexp_extract(s[-1], '(\\.[^./]+)$', 1) END AS identity FROM p""")
+def path_identity(l, v):  # noqa: E741
+    """Tenant, key and extension that a path tells; files beside the tenants' folders and names without a stem tell none."""
     mount = F.concat(F.lit("/mnt/"), "volume_id")
-    return f.select("file_key", paths.physical_path(mount, F.col("tenant_id"), paths.normalized_directory(F.col("directory_path")), F.col("file_key"), F.col("file_extension"), 2).alias("path"))
+    rows = l.select("path", mount.alias("mount")).unionByName(l.where("length = 0").select(F.concat(mount, F.lit("/loose.dat")).alias("path"), mount.alias("mount")))
+    return rows.withColumn("i", paths.identity_from_path(F.col("path"), F.col("mount"))).select("path", F.when(F.col("i").isNotNull(), F.concat_ws("|", "i.tenant_id", "i.file_key", "i.file_extension")).alias("identity"))
 
 
 @query("listing", sql="""SELECT path, regexp_extract(path, '[^/]*$', 0) AS name, regexp_extract(path, '(\\.[^./]+)$', 1) AS extension FROM listing""")
@@ -478,15 +713,25 @@ def path_names(l):  # noqa: E741
     return l.select("path", paths.file_name(F.col("path")).alias("name"), paths.extension(paths.file_name(F.col("path"))).alias("extension"))
 
 
-_PRINT = "'v2:' || length || ':' || ((epoch_us(modified_at) + 62135596800000000) * 10) || ':' || ((epoch_us(created_at) + 62135596800000000) * 10)"
-_HISTORY = f"SELECT path AS hpath, {_PRINT} AS imported FROM listing WHERE length % 3 = 0"
+_PRINT = "'fp:v2:' || length || ':' || ((epoch_us(modified_at) + 62135596800000000) * 10) || ':' || ((epoch_us(created_at) + 62135596800000000) * 10)"
+_V1 = "'fp:v1:' || length || ':' || ((epoch_us(modified_at) + 62135596800000000) * 10)"
+# What has been imported: in the new kind, in the old one, under another time, in no known kind, or still going on.
 _SCAN = f"""WITH e AS (SELECT tenant_id, path, length, {_PRINT} AS fingerprint, CASE WHEN lower(regexp_extract(path, '[^/]*$', 0)) IN ('thumbs.db', '.ds_store', 'desktop.ini') THEN 'junk' WHEN length = 0 THEN 'empty'
-    WHEN modified_at > TIMESTAMP '{NOW}' - INTERVAL 5 SECOND THEN 'too young' WHEN length % 3 = 0 THEN 'imported' WHEN presence = 'unknown' THEN 'locked' WHEN length > 15000000 THEN 'too large' END AS skip_reason FROM listing)"""
+    WHEN modified_at > TIMESTAMP '{NOW}' - INTERVAL 5 SECOND THEN 'too young' WHEN length % 11 = 4 THEN 'still written' WHEN length % 9 = 6 THEN 'in flight' WHEN length % 9 IN (0, 1) THEN 'imported' WHEN presence = 'unknown' THEN 'locked' WHEN length > 15000000 THEN 'too large' END AS skip_reason FROM listing)"""
 
 
 def _eligible(l):  # noqa: E741
-    history = l.where("length % 3 = 0").select("path", paths.fingerprint(F.col("length"), F.col("modified_at"), F.col("created_at")).alias("fingerprint"))
-    return wt.eligibility(l, history, _ts(NOW), max_size=15_000_000)
+    kind = F.col("length") % 9
+    now = paths.fingerprint(F.col("length"), F.col("modified_at"), F.col("created_at"))
+    old = F.concat_ws(":", F.lit("fp:v1"), F.slice(F.split(now, ":"), 3, 2))
+    stored = F.when(kind == 0, now).when(kind == 1, old).when(kind == 2, F.concat(now, F.lit("1"))).when(kind == 3, F.substring(now, 4, 99))
+    history = l.where("length % 9 in (0, 1, 2, 3, 6)").select("path", stored.alias("fingerprint"))
+    earlier = l.where("length % 2 = 0 or length % 11 = 4").select("path", F.when(F.col("length") % 11 == 4, F.col("length") - 1).otherwise(F.col("length")).alias("length"), "modified_at")
+    return wt.eligibility(l, history, _ts(NOW), max_size=15_000_000, earlier=earlier)
+
+
+def _failures(l):  # noqa: E741
+    return l.where("length % 37 = 5").select("path", F.concat(F.lit("cannot write "), (F.col("length") % 150).cast("string")).alias("error"))
 
 
 @query("listing", sql=_SCAN + " SELECT * FROM e")
@@ -494,9 +739,10 @@ def watch_eligible(l):  # noqa: E741
     return _eligible(l)
 
 
-@query("listing", sql=_SCAN + " SELECT count(*) AS discovered, count(*) FILTER (skip_reason IS NULL) AS imported, count(*) FILTER (skip_reason IS NOT NULL) AS skipped, cast(coalesce(sum(length) FILTER (skip_reason IS NULL), 0) AS BIGINT) AS imported_bytes FROM e")
+@query("listing", sql=_SCAN + """, f AS (SELECT *, length % 37 = 5 AS failed FROM e) SELECT count(*) AS discovered, count(*) FILTER (skip_reason IS NULL AND NOT failed) AS imported, count(*) FILTER (skip_reason IS NOT NULL AND NOT failed) AS skipped, count(*) FILTER (failed) AS failed,
+    cast(coalesce(sum(length) FILTER (skip_reason IS NULL AND NOT failed), 0) AS BIGINT) AS imported_bytes, array_to_string(list_sort(list(DISTINCT 'cannot write ' || (length % 150)) FILTER (failed))[1:100], ';') AS errors FROM f""")
 def watch_scan_result(l):  # noqa: E741
-    return wt.scan_result(_eligible(l))
+    return wt.scan_result(_eligible(l), _failures(l)).withColumn("errors", F.array_join("errors", ";"))
 
 
 @query("listing", sql=_SCAN + " SELECT coalesce(skip_reason, 'import') AS outcome, count(*) AS n FROM e GROUP BY 1")
@@ -514,18 +760,36 @@ def watch_pattern_match(l):  # noqa: E741
 def watch_fingerprint_dedupe(l):  # noqa: E741
     """A listing that meets each path twice, one of them with an older fingerprint."""
     prints = l.select("path", paths.fingerprint(F.col("length"), F.col("modified_at"), F.col("created_at")).alias("fingerprint"), F.lit("Upsert").alias("op"), F.lit(2).alias("seq"))
-    return wt.replayed_history(prints.unionByName(prints.withColumn("fingerprint", F.lit("v2:0:0:0")).withColumn("seq", F.lit(1))))
+    return wt.replayed_history(prints.unionByName(prints.withColumn("fingerprint", F.lit("fp:v2:0:0:0")).withColumn("seq", F.lit(1))))
+
 
+_OPS = """lines AS (SELECT CASE WHEN event_type IN (6, 8) THEN 'Delete' WHEN event_id % 50 = 3 THEN 'Touch' ELSE 'Upsert' END AS op, physical_path AS path, CASE WHEN event_id % 70 > 0 THEN cast(file_size AS VARCHAR) END AS fingerprint, event_id AS seq FROM journal),
+    good AS (SELECT * FROM lines WHERE op <> 'Touch' AND trim(path) <> '' AND (op = 'Delete' OR fingerprint IS NOT NULL))"""
 
-@query("journal", sql="""WITH o AS (SELECT physical_path AS path, cast(file_size AS VARCHAR) AS fingerprint, event_type, row_number() OVER (PARTITION BY physical_path ORDER BY event_id DESC) AS r FROM journal)
-    SELECT path, fingerprint FROM o WHERE r = 1 AND event_type NOT IN (6, 8)""")
+
+def _lines(j: DataFrame) -> DataFrame:
+    op = F.when(F.col("event_type").isin(6, 8), "Delete").when(F.col("event_id") % 50 == 3, "Touch").otherwise("Upsert")
+    return j.select(op.alias("op"), F.col("physical_path").alias("path"), F.when(F.col("event_id") % 70 > 0, F.col("file_size").cast("string")).alias("fingerprint"), F.col("event_id").alias("seq"))
+
+
+@query("journal", sql=f"""WITH {_OPS}, every AS (SELECT * FROM good UNION ALL SELECT 'Upsert', '/checkpoint/' || tenant_id, 'kept', -1 FROM (SELECT DISTINCT tenant_id FROM journal) UNION ALL SELECT 'Upsert', physical_path, 'old', -1 FROM (SELECT DISTINCT physical_path FROM journal WHERE physical_path <> '' AND event_type = 6))
+    SELECT path, fingerprint FROM every QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1 AND op = 'Upsert'""")
 def history_replay(j):
-    return wt.replayed_history(j.select(F.when(F.col("event_type").isin(6, 8), "Delete").otherwise("Upsert").alias("op"), F.col("physical_path").alias("path"), F.col("file_size").cast("string").alias("fingerprint"), F.col("event_id").alias("seq")))
+    """A checkpoint with a log on top, some of whose lines aren't valid."""
+    kept = j.select(F.concat(F.lit("/checkpoint/"), "tenant_id").alias("path"), F.lit("kept").alias("fingerprint")).distinct()
+    old = j.where("physical_path <> '' and event_type = 6").select(F.col("physical_path").alias("path"), F.lit("old").alias("fingerprint")).distinct()
+    return wt.replayed_history(_lines(j), kept.unionByName(old))
+
+
+@query("journal", sql=f"WITH {_OPS} SELECT (SELECT count(*) FROM lines) - (SELECT count(*) FROM good) AS invalid, (SELECT count(*) FROM lines) AS lines")
+def history_invalid_lines(j):
+    return wt.invalid_operations(_lines(j))
 
 
-@query("files", "listing", sql="SELECT physical_path AS path, file_key AS fingerprint FROM files WHERE physical_path NOT IN (SELECT path FROM listing)")
+@query("files", "listing", sql="SELECT path, fingerprint FROM (SELECT physical_path AS path, file_key AS fingerprint FROM files WHERE physical_path > '/mnt/vol-1/' ORDER BY 1 LIMIT 500) WHERE path NOT IN (SELECT path FROM listing WHERE presence <> 'missing')")
 def history_stale(f, l):  # noqa: E741
-    return wt.stale_history(f.select(F.col("physical_path").alias("path"), F.col("file_key").alias("fingerprint")), l)
+    """One round: the next 500 paths behind a place; the budget is the feature."""
+    return wt.stale_history(f.select(F.col("physical_path").alias("path"), F.col("file_key").alias("fingerprint")), l, "/mnt/vol-1/", 500)
 
 
 @query("listing", "tenants", sql="SELECT tenant_id, count(*) AS n FROM listing SEMI JOIN (SELECT * FROM tenants WHERE status = 1) t USING (tenant_id) GROUP BY tenant_id")

@@ -1,7 +1,4 @@
-"""The model's tables as views of the driver's tables: one SQL text each, for Spark and for the SQL twins.
-
-Numbering by window (the journal's sequence) only stands in for numbers that a real journal carries.
-"""
+"""The model's tables as views of the driver's tables: one SQL text each, for Spark and for the SQL twins."""
 
 from __future__ import annotations
 
@@ -15,29 +12,13 @@ class Spark:
 
     seconds = staticmethod(lambda n: f"make_dt_interval(0, 0, 0, cast({n} as decimal(18,6)))")
     div = staticmethod(lambda a, b: f"(({a}) div {b})")
-    micros = staticmethod(lambda t: f"unix_micros(cast({t} as timestamp))")
-    ts = staticmethod(lambda s: f"timestamp_ntz'{s}'")
-    struct = staticmethod(lambda fields: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
-    array = staticmethod(lambda *x: f"array({', '.join(x)})")
-    reduce = staticmethod(lambda xs, init, a, x, body: f"aggregate({xs}, {init}, ({a}, {x}) -> {body})")
-    append = staticmethod(lambda xs, x: f"array_append({xs}, {x})")
     backslash = "'\\\\'"
-    stamp, long_text = "timestamp_ntz", "string"
-    empty_deltas = "cast(array() as array<struct<seq:bigint,directory:string,d:int>>)"
 
 
 class Twin:
     seconds = staticmethod(lambda n: f"to_seconds({n})")
     div = staticmethod(lambda a, b: f"(({a}) // {b})")
-    micros = staticmethod(lambda t: f"epoch_us({t})")
-    ts = staticmethod(lambda s: f"TIMESTAMP '{s}'")
-    struct = staticmethod(lambda fields: "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}")
-    array = staticmethod(lambda *x: f"[{', '.join(x)}]")
-    reduce = staticmethod(lambda xs, init, a, x, body: f"list_reduce({xs}, lambda {a}, {x}: {body}, {init})")
-    append = staticmethod(lambda xs, x: f"list_append({xs}, {x})")
     backslash = "'\\'"
-    stamp, long_text = "TIMESTAMP", "VARCHAR"
-    empty_deltas = "[]::STRUCT(seq BIGINT, directory VARCHAR, d INT)[]"
 
 
 def _tenant(expression: str, n: int) -> str:
@@ -51,36 +32,44 @@ def _messy(n: str, d) -> str:
 
 
 def journal(d) -> str:
+    """64 tenants with sequence numbers that the event's own number gives, a jump after every 97th; a file's events are those of 16 users."""
+    file = "concat(cast(event_id % 64 as string), '-', cast(" + d.div("user_id", "16") + " as string))"
+    n = f"({d.div('event_id', '64')} + 1)"
+    path = "concat('/mnt/vol-', cast(f % 4 as string), '/', tenant_id, '/', substring(file_key, 1, 2), '/', substring(file_key, 3, 2), '/', file_key, '.dat')"
     return f"""
     WITH base AS (
-      SELECT *, {_tenant("user_id", 8)} AS tenant_id, md5(cast(user_id as string)) AS file_key, cast(regexp_extract(props, '[0-9]+', 0) as int) AS k FROM events),
+      SELECT *, {_tenant("event_id", 64)} AS tenant_id, md5({file}) AS file_key, {d.div("user_id", "16")} + event_id % 64 AS f, cast(regexp_extract(props, '[0-9]+', 0) as int) AS k,
+        {n} + {d.div(n, "97")} AS seq FROM events),
     seen AS (
-      SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, event_id) AS seq,
-        max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY tenant_id, file_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS viewed
-      FROM base),
+      SELECT *, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY tenant_id, file_key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS viewed FROM base),
     coded AS (
       SELECT *, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 4
           WHEN 'purchase' THEN CASE WHEN k < 45 OR (k >= 60 AND k < 95) THEN 5 WHEN k < 60 THEN 6 ELSE 8 END
           ELSE CASE WHEN k < 30 THEN 7 ELSE 3 END END AS code FROM seen)
     SELECT tenant_id, file_key, event_id, code AS event_type, ts AS occurred_at, cast(seq as bigint) AS sequence_number,
-      concat('vol-', cast(user_id % 4 as string)) AS volume_id,
-      CASE WHEN event_id % 41 = 0 THEN '' ELSE concat('/mnt/vol-', cast(user_id % 4 as string), '/', tenant_id, '/', file_key, '.dat') END AS physical_path,
-      {_messy("user_id", d)} AS directory_path, cast(floor(value * 100) as bigint) AS file_size,
-      cast(CASE WHEN code = 3 AND k % 10 = 0 THEN 4 END as int) AS status,
+      concat('vol-', cast(f % 4 as string)) AS volume_id,
+      CASE WHEN event_id % 41 = 0 THEN '' ELSE {path} END AS physical_path,
+      {_messy("f", d)} AS directory_path, cast(floor(value * 100) as bigint) AS file_size,
+      cast(CASE WHEN code = 3 AND k % 10 = 0 THEN 4 WHEN code = 4 AND k % 25 = 1 THEN 6 END as int) AS status,
       CASE WHEN code IN (3, 4, 7) THEN CASE WHEN event_id % 13 = 0 THEN viewed - interval '1' day ELSE viewed END WHEN code = 2 AND k % 3 > 0 THEN ts END AS processing_start_time,
       cast(CASE WHEN code = 3 THEN k % 4 END as int) AS retry_count,
       CASE WHEN code IN (3, 7) AND k % 2 = 0 THEN ts + interval '5' minute END AS available_at,
       CASE WHEN code = 3 THEN concat('error ', cast(k as string)) WHEN code = 2 AND k % 9 = 0 THEN 'slow' END AS error_message,
-      concat('file ', cast(user_id as string), '.dat') AS original_file_name, '.dat' AS file_extension, user_id % 11 <> 0 AS physical_present
-    FROM coded WHERE event_id % 97 <> 0"""
+      concat('file ', cast(f as string), '.dat') AS original_file_name, '.dat' AS file_extension, f % 11 <> 0 AS physical_present
+    FROM coded"""
+
+
+def _stored(key: str, k: str) -> str:
+    """Where a volume keeps a file: mount, tenant, two shards of the key, name."""
+    return f"""concat('/mnt/vol-', cast({k} % 4 as string), '/', {_tenant("o_custkey", 16)}, '/', substring({key}, 1, 2), '/', substring({key}, 3, 2), '/', {key}, '.dat')"""
 
 
 def files(d) -> str:
     k = "o_orderkey"
+    key = f"md5(cast({k} as string))"
     at = lambda hours: f"o_orderdate + {d.seconds(f'({hours}) * 3600')}"
     return f"""
-    SELECT md5(cast({k} as string)) AS file_key, {_tenant("o_custkey", 16)} AS tenant_id, concat('vol-', cast({k} % 4 as string)) AS volume_id,
-      concat('/mnt/vol-', cast({k} % 4 as string), '/', {_tenant("o_custkey", 16)}, '/', substring(md5(cast({k} as string)), 1, 2), '/', md5(cast({k} as string)), '.dat') AS physical_path,
+    SELECT {key} AS file_key, {_tenant("o_custkey", 16)} AS tenant_id, concat('vol-', cast({k} % 4 as string)) AS volume_id, {_stored(key, k)} AS physical_path,
       {_messy(k, d)} AS directory_path, cast(floor(o_totalprice * 100) as bigint) AS file_size, o_orderdate AS created_at, cast({k} % 8 as int) AS status,
       cast({k} % 5 as int) AS retry_count,
       CASE WHEN {k} % 8 IN (3, 4) OR {k} % 5 = 1 THEN {at(f"1 + {k} % 40")} END AS last_failed_at,
@@ -89,7 +78,8 @@ def files(d) -> str:
       CASE WHEN {k} % 8 = 6 OR {k} % 64 = 2 THEN {at(f"60 + {k} % 9")} END AS delete_succeeded_at,
       CASE WHEN {k} % 8 = 7 THEN {at("80")} END AS dead_lettered_at,
       CASE WHEN {k} % 8 = 0 AND {k} % 3 > 0 THEN {at(f"{k} % 1000")} END AS available_at,
-      CASE WHEN {k} % 8 IN (3, 4) THEN concat('error ', cast({k} % 6 as string)) END AS last_error, '.dat' AS file_extension
+      CASE WHEN {k} % 8 IN (3, 4) THEN concat('error ', cast({k} % 6 as string)) END AS last_error,
+      CASE WHEN {k} % 8 <> 1 AND {k} % 3 <> 1 THEN {at(f"1 + {k} % 20")} END AS released_lease, '.dat' AS file_extension
     FROM orders"""
 
 
@@ -112,16 +102,18 @@ def quotas(d) -> str:
 
 
 def listing(d) -> str:
-    """Files on disk: nine in ten of those known, with some under another case, and as many that nothing knows."""
+    """Files on disk: nine in ten of those known, one in ten under another name that nothing knows, with junk, other cases and lost ones."""
     k = "o_orderkey"
     key = f"md5(cast({k} as string))"
+    root = f"""'/mnt/vol-', cast({k} % 4 as string), '/', {_tenant("o_custkey", 16)}"""
+    lost = f"""CASE {k} % 100 WHEN 3 THEN concat({root}, '/Incoming/lost-', cast({k} as string), '.TXT') WHEN 13 THEN concat({root}, '/Incoming/', cast({k} as string), '/Thumbs.db') WHEN 23 THEN concat({root}, '/Incoming/', cast({k} as string), '/.DS_Store')
+        WHEN 33 THEN concat({root}, '/', substring({key}, 1, 2), '/', substring({key}, 3, 2), '/Studies/a/', {key}, '.dcm') WHEN 43 THEN concat({root}, '/docs/', substring({key}, 1, 2), '/', {key}, '.dat')
+        WHEN 53 THEN concat({root}, '/metadata.db.Corrupted.', cast({k} as string)) ELSE concat({root}, '/Incoming/lost-', cast({k} as string), '.dat') END"""
     return f"""
-    SELECT {_tenant("o_custkey", 16)} AS tenant_id, concat('vol-', cast({k} % 4 as string)) AS volume_id,
-      CASE WHEN {k} % 10 = 3 THEN concat('/mnt/vol-', cast({k} % 4 as string), '/', {_tenant("o_custkey", 16)}, '/Incoming/lost-', cast({k} as string), CASE WHEN {k} % 20 = 3 THEN '.TXT' ELSE '.dat' END)
-        ELSE concat('/mnt/vol-', cast({k} % 4 as string), '/', {_tenant("o_custkey", 16)}, '/', substring({key}, 1, 2), '/', {key}, '.dat') END AS path,
+    SELECT {_tenant("o_custkey", 16)} AS tenant_id, concat('vol-', cast({k} % 4 as string)) AS volume_id, CASE WHEN {k} % 10 = 3 THEN {lost} ELSE {_stored(key, k)} END AS path,
       cast(CASE WHEN {k} % 17 = 0 THEN 0 ELSE floor(o_totalprice * 100) END as bigint) AS length, o_orderdate + interval '1' hour AS modified_at, o_orderdate AS created_at,
-      CASE WHEN {k} % 23 = 0 THEN 'unknown' WHEN {k} % 19 = 0 THEN 'missing' ELSE 'present' END AS presence
-    FROM orders WHERE {k} % 10 <> 7"""
+      CASE WHEN {k} % 23 = 0 THEN 'unknown' WHEN {k} % 19 = 0 OR {k} % 10 = 7 THEN 'missing' ELSE 'present' END AS presence
+    FROM orders"""
 
 
 def measurements(d) -> str:
@@ -144,6 +136,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text(Spark).replace(f"FROM {source}", "FROM {" + source + "}"), **{source: table})
 
 
-def twin(*names: str) -> str:
+def twin(*names: str, recursive: bool = False) -> str:
     """The views as the beginning of a WITH clause."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n][0](Twin)})" for n in names)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"{n} AS ({VIEWS[n][0](Twin)})" for n in names)

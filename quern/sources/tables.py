@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import file_name
+from ..functions.time import tolerant_timestamp
+from ..schema import TENANT_DISABLED, TENANT_ENABLED, TENANT_SUSPENDED
 
 
 def read_listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -21,10 +23,18 @@ def by_tenant(listing: DataFrame, root: str) -> DataFrame:
 
 
 def read_tenants(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per tenant; files that don't parse are skipped."""
-    schema = "tenant_id string, status int, created_at string, updated_at string, storage_path string, _corrupt string"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is null and tenant_id is not null").drop("_corrupt")
+    """One JSON file per tenant (TenantId, Status, CreatedAt, UpdatedAt, StoragePath, Properties; names in any case, status by code or name).
+
+    Files that don't parse are skipped.
+    """
+    names = {"tenantid": "tenant_id", "status": "status", "createdat": "created_at", "updatedat": "updated_at", "storagepath": "storage_path", "properties": "properties"}
+    text = spark.read.text(path, wholetext=True)
+    found = text.select(F.from_json("value", "map<string,string>").alias("m")).where("m is not null")
+    folded = found.select(F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))), e["value"]))).alias("m"))
+    rows = folded.select(*[F.element_at("m", k).alias(v) for k, v in names.items()])
+    code = F.coalesce(F.expr("try_cast(status as int)"), F.when(F.lower("status") == "enabled", TENANT_ENABLED).when(F.lower("status") == "disabled", TENANT_DISABLED).when(F.lower("status") == "suspended", TENANT_SUSPENDED))
+    known = rows.where("tenant_id is not null").withColumn("status", F.coalesce(code, F.lit(0)))
+    return known.withColumns({c: tolerant_timestamp(F.col(c), True) for c in ("created_at", "updated_at")})
 
 
 def write_snapshot(files: DataFrame, path: str, cursor: int) -> None:
@@ -49,3 +59,4 @@ def compact(spark: SparkSession, path: str, target: str, bytes_per_file: int = 1
     spark.read.parquet(path).repartition(n).write.mode("overwrite").parquet(target)
     after = sizes(target).first()
     return spark.createDataFrame([(before["files"], before["bytes"], after["files"], after["bytes"])], "files_before long, bytes_before long, files_after long, bytes_after long")
+

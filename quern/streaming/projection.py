@@ -27,6 +27,7 @@ def apply_event(row: dict | None, e: dict) -> dict | None:
             "status": status, "processing_start_time": e["processing_start_time"], "available_at": e["available_at"], "retry_count": e["retry_count"] or 0, "last_failed_at": at if kind == 3 else None,
             "completed_at": at if kind in (4, 5) or e["status"] in (2, 5, 6) else None, "dead_lettered_at": at if kind == 8 or e["status"] == 7 else None, "last_error": e["error_message"],
             "physical_path": e["physical_path"], "volume_id": e["volume_id"] or "", "directory_path": e["directory"], "file_size": e["file_size"] or 0, "created_at": at, "accepted_applied": True, "dead_letter_applied": False,
+            "delete_succeeded_at": at if e["status"] == 6 else None,
         }
         if kind == 5:
             return row
@@ -34,7 +35,7 @@ def apply_event(row: dict | None, e: dict) -> dict | None:
         return row | {"accepted_applied": True}
     if kind == 6:
         return None
-    idle = {"processing_start_time": None, "available_at": None, "dead_lettered_at": None, "dead_letter_applied": False}
+    idle = {"processing_start_time": None, "available_at": None, "dead_lettered_at": None, "delete_succeeded_at": None, "dead_letter_applied": False}
     stale = (row["processing_start_time"] is not None and row["processing_start_time"] > lease) or newest("last_failed_at", at) or newest("completed_at", at)
     released = {"released_lease": e["processing_start_time"] or row["released_lease"]}
     if kind == 2:

@@ -1,5 +1,7 @@
 """Statistics, paths, files, quotas, watching and journal files on small frames."""
 
+import random
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import paths
 from quern.functions.time import retry_delay, tolerant_timestamp, window_offset
 from quern.operators import files as fl, journal as jn, quota as qt, reconcile as rc, statistics as st, watch as wt
+from quern.operators.running import floored_totals, running
 from quern.sources import journal_files as jf, tables as tb
 from quern.streaming.statistics import recorded_stream
 
@@ -31,18 +34,46 @@ def test_names(spark):
 
 def test_recovered_directory(spark):
     key = "ab" * 16
-    path, root = f"/m/t/incoming/studies/ab/ab/{key}.dcm", "/m/T"
-    assert spark.range(1).select(paths.recovered_directory(F.lit(path), F.lit(root), F.lit(key))).first()[0] == "/incoming/studies"
-    assert spark.range(1).select(paths.recovered_directory(F.lit("/m/t/incoming/studies/study-001.dcm"), F.lit(root), F.lit("study-001"))).first()[0] == "/incoming/studies"
+    rows = [
+        # Stored files: shards lead, in any case of letters; whatever follows them is the logical directory.
+        (f"/mnt/v/t/ab/ab/docs/{key}.dcm", "/mnt/v/T", key, "/docs"), (f"/mnt/v/t/AB/{key}", "/mnt/v/t", key, "/"), (f"/mnt/v/t/ab/ab/{key}", "/mnt/v/t", key, "/"),
+        # Folders behind another one, or of another length, are no shards.
+        (f"/mnt/v/t/docs/ab/{key}", "/mnt/v/t", key, "/docs/ab"), (f"/mnt/v/t/abab/{key}", "/mnt/v/t", key, "/abab"),
+        ("/m/t/ab/studies/study-001.dcm", "/m/t/", "study-001", "/ab/studies"), ("/elsewhere/a/x.dat", "/m/t", "x", "/elsewhere/a"), (None, "/m/t", "x", "/"),
+    ]
+    df = spark.createDataFrame(rows, "path string, root string, key string, wanted string")
+    got = df.select(paths.recovered_directory(F.col("path"), F.col("root"), F.col("key")).alias("d"), "wanted").collect()
+    assert [r.d for r in got] == [r.wanted for r in got]
+
+
+def test_physical_path(spark):
+    path = lambda key, depth: one(spark, lambda k: paths.physical_path(F.lit("/m"), F.lit("t"), k, F.lit(".x"), depth), key=key)
+    assert [path("abcdef", d) for d in range(5)] == ["/m/t/abcdef.x", "/m/t/ab/abcdef.x", "/m/t/ab/cd/abcdef.x", "/m/t/ab/cd/ef/abcdef.x", "/m/t/ab/cd/ef/abcdef.x"]
+    assert [path("a", d) for d in (1, 2, 3)] == ["/m/t/a0/a.x", "/m/t/a0/00/a.x", "/m/t/a0/a.x"]
+    assert path("abc", 3) == "/m/t/ab/c0/abc.x"
+
+
+def test_generated_keys(spark):
+    def prefix(seed, ordinal):  # in Python's own integers
+        x, mask = (seed << 32) ^ ordinal ^ 0x9E3779B97F4A7C15, (1 << 64) - 1
+        for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * by) & mask
+        return (x ^ (x >> 33)) & 0xFFFF
+
+    rows = [(s, o) for s in (0, 1, 77, 2**31 - 1) for o in (0, 1, 31, 10**12)]
+    got = spark.createDataFrame(rows, "s long, o long").select("s", "o", paths.shard_prefix(F.col("s"), F.col("o")).alias("p"), paths.generated_key(F.lit("0123ABCD-" + "ef" * 12), F.col("s"), F.col("o")).alias("k")).collect()
+    assert all(r.p == prefix(r.s, r.o) and r.k == f"{r.p:04x}abcd" + "ef" * 12 for r in got)
 
 
 def test_fingerprints(spark):
     t = F.lit(T0).cast("timestamp_ntz")
     now = spark.range(1).select(paths.fingerprint(F.lit(5), t, t)).first()[0]
-    assert now.startswith("v2:5:") and now.count(":") == 3
-    old = ":".join(now.split(":")[1:3])
+    assert now == "fp:v2:5:638501616000000000:638501616000000000"
+    assert spark.range(1).select(paths.fingerprint(F.lit(5), t, F.lit(None).cast("timestamp_ntz"))).first()[0] == now
+    old = "fp:v1:" + ":".join(now.split(":")[2:4])
     check = lambda a, b: spark.range(1).select(paths.same_fingerprint(F.lit(a), F.lit(b))).first()[0]
-    assert check(old, now) and check(now, now) and not check("v2:5:1:2", "v2:5:1:3")
+    assert check(old, now) and check(now, now)
+    assert not any(check(x, now) for x in (now[3:], now + "1", old + "1", "fp:v1:5", "fp:v2:5:1:2", ""))
 
 
 def test_time_functions(spark):
@@ -153,9 +184,13 @@ def test_eligibility(spark):
     none = spark.createDataFrame([], "path string, fingerprint string")
     found = wt.eligibility(listing, none, F.lit(T0), 5, 500, ["*.*"])
     assert {r.path[3:]: r.skip_reason for r in found.collect()} == {"a.txt": None, "b.txt": "too young", "big.txt": "too large", "e.txt": "empty", "Thumbs.db": "junk"}
-    assert wt.scan_result(found).first().asDict() == {"discovered": 5, "imported": 1, "skipped": 4, "imported_bytes": 5}
+    assert wt.scan_result(found).first().asDict() == {"discovered": 5, "imported": 1, "skipped": 4, "failed": 0, "imported_bytes": 5, "errors": []}
     again = wt.eligibility(listing, found.select("path", "fingerprint"), F.lit(T0), 5, 500, ["a.*"])
     assert [r.skip_reason for r in again.collect()] == ["imported"]
+    probe = listing.where("path = '/w/a.txt'").select("path", F.lit(4).cast("long").alias("length"), "modified_at")
+    assert [r.skip_reason for r in wt.eligibility(listing, none, F.lit(T0), 5, 500, ["a.*"], earlier=probe).collect()] == ["still written"]
+    going = found.where("path = '/w/a.txt'").select("path", F.lit(None).cast("string").alias("fingerprint"))
+    assert [r.skip_reason for r in wt.eligibility(listing, going, F.lit(T0), 5, 500, ["a.*"]).collect()] == ["in flight"]
     assert wt.eligibility(listing, none, F.lit(T0), 5, 0, ["*.TXT"]).count() == 0
     assert wt.eligibility(listing, none, F.lit(T0), 5, 0, ["*.TXT"], ignore_case=True).count() == 4
 
@@ -182,6 +217,101 @@ def test_journal_files(spark, tmp_path, encode):
     assert read.where("path like '%whole' and occurred_at is null").count() == 0
 
 
+def test_json_lines_of_others(spark):
+    """Lines as the reference's serializer writes them: names, times, escapes and the checksum over the line with a null in its place."""
+    first = (
+        '{"schemaVersion":1,"eventId":"e1","tenantId":"t","fileKey":"k","eventType":2,"occurredAtUtc":"2024-05-01T12:00:00.0000015Z","sequenceNumber":7,"payloadCrc32":null,"volumeId":"vol-1",'
+        '"physicalPath":"/m/\\u0026/\\u00E9","directoryPath":null,"fileSize":5,"status":null,"processingStartTimeUtc":"2024-05-01T12:00:00Z","retryCount":null,"availableForProcessingAtUtc":null,'
+        '"errorMessage":"a\\nb \\u0022c\\u0022 \\uD83D\\uDE00","originalFileName":null,"fileExtension":".x"}'
+    )
+    signed = first.replace('"payloadCrc32":null', f'"payloadCrc32":{zlib.crc32(first.encode())}')
+    other_order = '{"tenantId":"t","eventType":1,"fileKey":"k","occurredAtUtc":"2024-05-01T14:00:00+02:00","more":1}'
+    rows = list(jf.decode(f"{signed}\n\n{other_order}\r\n{signed.replace(':5,', ':6,')}\n".encode()))
+    assert [r["corrupt"] for r in rows] == [False, False, True]
+    a, b = rows[:2]
+    assert (a["physical_path"], a["error_message"], a["sequence_number"], a["processing_start_time"]) == ("/m/&/é", 'a\nb "c" 😀', 7, T0)
+    assert (b["occurred_at"], b["payload_crc32"], b["start_offset"]) == (T0, None, len(signed) + 2)
+    again = {k: a[k] for k in jf._MEMBERS.values() if k != "payload_crc32"} | {"occurred_at": T0}
+    assert jf.encode_json(again).decode().rstrip() == (lambda x: x.replace('"payloadCrc32":null', f'"payloadCrc32":{zlib.crc32(x.encode())}'))(first.replace(".0000015Z", "Z"))
+
+
+def test_binary_golden_bytes():
+    record = {"event_type": 1, "occurred_at": T0, "sequence_number": 3, "event_id": "e", "tenant_id": "t", "file_key": "k"}
+    ticks = (638501616000000000).to_bytes(8, "little")
+    payload = bytes.fromhex("0100000001000000") + ticks + bytes.fromhex("ffffffffffffffff000000800000008000000000000000800000000000000080010165010174" "01016b") + bytes(6)
+    header = bytes.fromhex("514c4f47" "0100" "0000") + len(payload).to_bytes(4, "little") + (3).to_bytes(8, "little") + zlib.crc32(payload).to_bytes(4, "little")
+    assert jf.encode_binary(record) == header + payload
+    assert list(jf.decode(header + payload))[0]["file_key"] == "k"
+    more = payload + b"\0"
+    assert list(jf.decode(header[:8] + len(more).to_bytes(4, "little") + header[12:20] + zlib.crc32(more).to_bytes(4, "little") + more))[0]["corrupt"]
+
+
+def test_running_in_chunks(spark):
+    r = random.Random(1)
+    rows = [(k, o, r.randint(-3, 3)) for k in ("a", "b", None) for o in r.sample(range(500), 60)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    for how, begin, step in (("sum", 0, lambda a, x: a + x), ("max", None, lambda a, x: x if a is None else max(a, x))):
+        wanted, state = set(), {}
+        for k, o, v in sorted(rows, key=lambda x: x[1]):
+            wanted.add((k, o, state.get(k, begin)))
+            state[k] = step(state.get(k, begin), v)
+        assert {(x.k, x.o, x.b) for x in running(df, ["k"], "o", "v", how, "b", size=7).collect()} == wanted
+    counts = {}
+    for k, o, v in sorted(rows, key=lambda x: x[1]):
+        counts[k] = max(0, counts.get(k, 0) + v)
+    assert {x.k: x.n for x in floored_totals(df, ["k"], "o", "v", "n", size=7).collect()} == counts
+
+
+def test_batches_of_a_journal(spark):
+    placed = jn.with_offsets(spark.createDataFrame([("t", i, 10) for i in range(1, 6)], "tenant_id string, sequence_number long, record_bytes long"))
+    read = lambda *a: (lambda b, s: ([x.sequence_number for x in b.collect()], *s.first()))(*jn.read_batch(placed, *a))
+    assert read("t", 0, 2) == ([1, 2], 20, False) and read("t", 25, 9) == ([3, 4, 5], 50, True) and read("t", 30, 1) == ([4], 40, False)
+    assert read("t", 5, 2, 20) == ([3, 4], 40, False) and read("t", 70, 2) == ([], 50, True) and read("u", 7, 2) == ([], 0, True)
+    with pytest.raises(ValueError):
+        jn.read_batch(placed, "t", -1, 1)
+    kept, lost = jn.repaired(placed, F.col("sequence_number") == 4)
+    assert kept.count() == 3 and [tuple(x) for x in lost.collect()] == [("t", 30, 2)]
+    assert jn.single_tenant(placed, "t").count() == 5
+    with pytest.raises(Exception, match="one tenant"):
+        jn.single_tenant(placed, "u").count()
+
+
+def test_leases(spark):
+    """Late completions and repeated failures are known by the lease that was released."""
+    names = "tenant_id string, file_key string, status int, processing_start_time timestamp_ntz, last_failed_at timestamp_ntz, available_at timestamp_ntz, last_error string, released_lease timestamp_ntz"
+    at, other = T0, T0 + timedelta(seconds=1)
+    f = spark.createDataFrame([("t", "timed out", 0, None, None, at, None, at), ("t", "failed", 4, None, at, None, "e", at), ("t", "fresh", 0, None, None, None, None, at), ("t", "done", 5, None, None, None, None, at), ("t", "busy", 1, at, None, None, None, None)], names)
+    commands = spark.createDataFrame([("t", k, kind, lease) for k in ("timed out", "failed", "fresh", "done", "busy", "gone") for kind in ("complete", "fail") for lease in (at, other)], "tenant_id string, file_key string, kind string, lease timestamp_ntz")
+    got = {(r.file_key, r.kind, r.lease == at): r.result for r in fl.lease_result(f, commands).collect()}
+    assert [got["timed out", "complete", x] for x in (True, False)] == ["late", "mismatch"]
+    assert [got["failed", k, True] for k in ("complete", "fail")] == ["late", "idempotent"]
+    assert [got["fresh", "complete", x] for x in (True, False)] == ["mismatch", "mismatch"]
+    assert [got["done", k, x] for k in ("complete", "fail") for x in (True, False)] == ["idempotent", "idempotent", "idempotent", "mismatch"]
+    assert [got["busy", k, x] for k in ("complete", "fail") for x in (True, False)] == ["applied", "mismatch"] * 2
+    assert [got["gone", k, True] for k in ("complete", "fail")] == ["idempotent", "mismatch"]
+
+
+def test_volume_choice(spark):
+    volumes = spark.createDataFrame([("v0", 10, True), ("v1", 30, True), ("v2", 20, True), ("v3", 99, False), ("v4", 0, True)], "volume_id string, available_space long, is_healthy boolean")
+    requests = spark.createDataFrame([(t, t, 0) for t in range(40)] + [(100, 4, 15), (101, 4, 25), (102, 4, 31)], "request_id long, ticket long, size long")
+    got = {r.request_id: r.volume_ids for r in fl.volume_choice(volumes, requests).collect()}
+    ids, space = ["v0", "v1", "v2"], {"v0": 10, "v1": 30, "v2": 20}
+    for t in range(40):
+        i, j = t % 3, (t * 1103515245 + 12345) % 2**32 % 3
+        j = (j + 1) % 3 if i == j else j
+        pair = sorted((ids[i], ids[j]), key=lambda v: -space[v])
+        assert got[t] == pair + [v for v in ids if v not in pair]
+    assert got[101] == ["v1"] and got[102] is None and sorted(got[100]) == ["v1", "v2"]
+    assert fl.volume_choice(volumes.where("false"), requests).where("volume_ids is not null").count() == 0
+
+
+def test_targets_of_imports(spark):
+    imported = spark.createDataFrame([("/w/a.txt", 1), ("/x/a.txt", 2), ("/y/a.txt", 3), ("/w/b", 4), ("/w/a_1.txt", 5)], "path string, ordinal long")
+    present = spark.createDataFrame([("/done/a.txt",), ("/done/b",), ("/other/a_1.txt",)], "path string")
+    got = {r.path: r.target_path for r in wt.import_targets(imported, present, "/done/").collect()}
+    assert got == {"/w/a.txt": "/done/a_1.txt", "/x/a.txt": "/done/a_1_2.txt", "/y/a.txt": "/done/a_1_2_3.txt", "/w/b": "/done/b_1", "/w/a_1.txt": "/done/a_1_1.txt"}
+
+
 def test_journal_tables(spark):
     rows = spark.createDataFrame([("t", i, 10 * i) for i in range(1, 6)], "tenant_id string, sequence_number long, record_bytes long")
     placed = jn.with_offsets(rows)
@@ -207,9 +337,10 @@ def test_tables(spark, tmp_path):
     found = tb.by_tenant(tb.read_listing(spark, str(tmp_path / "r")), str(tmp_path / "r"))
     assert sorted((r.tenant_id, r.file_name, r.length) for r in found.collect()) == [("a", "x.dat", 3), ("b", "x.dat", 3)]
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "a.json").write_text('{"tenant_id": "a",\n "status": 1}')
+    (tmp_path / "t" / "a.json").write_text('{"TenantId": "a",\n "Status": 1, "CreatedAt": "2024-05-01T12:00:00Z", "StoragePath": "/s", "Properties": null}')
     (tmp_path / "t" / "b.json").write_text("{nonsense")
-    assert [r.tenant_id for r in tb.read_tenants(spark, str(tmp_path / "t")).collect()] == ["a"]
+    (tmp_path / "t" / "c.json").write_text('{"tenantId": "c", "status": "Suspended", "createdAt": "?"}')
+    assert sorted((r.tenant_id, r.status, r.created_at) for r in tb.read_tenants(spark, str(tmp_path / "t")).collect()) == [("a", 1, T0), ("c", 3, datetime(1970, 1, 1))]
     f = table(spark, {"file_key": "a", "status": 0}, {"file_key": "b", "status": 1, "tenant_id": "u"})
     tb.write_snapshot(f, str(tmp_path / "s"), 7)
     assert tb.read_snapshot(spark, str(tmp_path / "s")).where("cursor = 7").count() == 2
