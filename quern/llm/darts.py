@@ -45,11 +45,25 @@ def cells(shingles: np.ndarray) -> np.ndarray:
     return np.sort(mix(x + nth.astype(U) * _GOLDEN))
 
 
-def sketches(cell: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
+def weighted_cells(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of 64-bit elements with real weights, whose each is (a place in ``elements``), and the share of each that is owned.
+
+    The last cell of a weight that isn't whole is owned in part; a weight of 0 owns nothing.
+    """
+    count = np.ceil(weights).astype(np.int64)
+    of = np.repeat(np.arange(len(elements)), count)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return mix(elements[of] + nth.astype(U) * _GOLDEN), of, np.minimum(weights[of] - nth, 1.0)
+
+
+def sketches(cell: np.ndarray, owner: np.ndarray, n: int, k: int, share: np.ndarray | None = None) -> np.ndarray:
     """(n, k) earliest darts. ``cell``: cells of ``n`` sets one after the other; ``owner``: whose each is.
 
-    A set without cells gets zeros.
+    ``share`` is the part of each cell that its set owns (all of it by default): a dart beyond it misses. A
+    set without cells, or with shares of 0 alone, gets zeros.
     """
+    if share is not None:
+        cell, owner, share = cell[share > 0], owner[share > 0], share[share > 0]
     out = np.zeros(n * k, U)
     empty = np.ones(n * k, bool)
     left = np.zeros(n, np.int64)
@@ -65,6 +79,10 @@ def sketches(cell: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         dart = mix(np.repeat(base[hit], times) + (nth + 1).astype(U) * _GOLDEN)
         place = np.repeat(owner[hit], times) * k + ((dart >> U(32)) * U(k) >> U(32)).astype(np.int64)
+        if share is not None:
+            # Where in its cell a dart lands, by bits that its coordinate doesn't use.
+            inside = (dart & U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < np.repeat(share[hit], times)
+            dart, place = dart[inside], place[inside]
         fresh = empty[place]
         dart, place = dart[fresh], place[fresh]
         order = np.lexsort((mix(dart), place))
@@ -76,6 +94,7 @@ def sketches(cell: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
         stay = left[owner] > 0
         if not stay.all():
             cell, owner = cell[stay], owner[stay]
+            share = share if share is None else share[stay]
         level += 1
     return out.reshape(n, k)
 

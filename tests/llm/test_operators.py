@@ -20,7 +20,7 @@ from quern.llm.graph import components  # noqa: E402
 from quern.llm.html_extract import extracted, main_text, states, trained  # noqa: E402
 from quern.llm.html_tree import Page  # noqa: E402
 from quern.llm.labelled_pages import labelled_page  # noqa: E402
-from quern.llm.near_dedup import near_duplicates  # noqa: E402
+from quern.llm.near_dedup import deduplicated as near_kept, near_duplicates  # noqa: E402
 from quern.llm.packing import Packer, packed, step_groups  # noqa: E402
 from quern.llm.suffix_dedup import repeats_removed  # noqa: E402
 from quern.llm.token_count import TokenCounter, token_counts  # noqa: E402
@@ -197,6 +197,18 @@ def test_sketches_estimate_similarity():
         assert abs((sketch[0] == sketch[i]).mean() - len(a & b) / len(a | b)) < 0.04
 
 
+def test_sketches_of_real_weights_estimate_weighted_similarity():
+    rng = np.random.default_rng(3)
+    elements = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    a = rng.exponential(2.0, 300)
+    a[:20] = 0
+    both = [a, a * rng.choice([0.3, 1.0, 1.7], 300), rng.exponential(2.0, 300)]
+    cell, owner, share = zip(*((c, np.full(len(c), i), s) for i, w in enumerate(both) for c, _, s in [darts.weighted_cells(elements, w)]))
+    sketch = darts.sketches(np.concatenate(cell), np.concatenate(owner), 3, 4096, np.concatenate(share))
+    for i in range(3):
+        assert abs((sketch[0] == sketch[i]).mean() - np.minimum(both[0], both[i]).sum() / np.maximum(both[0], both[i]).sum()) < 0.04
+
+
 def cells_of(text):
     words = re.findall(r"\w+", (text or "").lower())
     width, seen, out = min(5, len(words)), collections.Counter(), set()
@@ -253,6 +265,19 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.class_size) for r in got) == [(-1, None, 1), (0, 0, 3), (0, 0, 3), (1, 0, 3)]
 
 
+def test_near_duplicates_of_repeated_and_other_ids(spark):
+    base = near_copies(1)[0]
+    other = base + " tail"
+    far = "nothing like the others at all, not even in part"
+    d = spark.createDataFrame([("5", base, 1), ("5", far, 2), ("9", other, 3), ("9", other, 3), ("7", None, 4)], "doc_id string, text string, n int")
+    got = sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in near_duplicates(d).collect())
+    assert got == [("5", "5", 1, True), ("5", "5", 3, True), ("7", "7", 1, True), ("9", "5", 3, False), ("9", "5", 3, False)]
+    left = near_kept(d)
+    assert left.columns == d.columns and sorted(r.n for r in left.collect()) == [1, 2, 4]
+    clash = d.withColumn("content", F.lit(1)).withColumn("class_id", F.lit(2))
+    assert near_kept(clash).columns == clash.columns and near_kept(clash.where("false")).count() == 0
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 300), (7, 7), (100, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
