@@ -7,6 +7,7 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Spellings that stand for the same word, as patterns for what is left of a text after
@@ -24,21 +25,24 @@ SPELLINGS = [
     (r"\bv\.? ?(\d)", r"v\1"),
     (r"\bv(\d+)\.0\b", r"v\1"),
 ]
-# Lines that only state whose work it is; other lines are what a licence says.
-COPYRIGHT_LINE = r"(?m)^[^\na-z0-9]*(copyright|\(c\)|all rights reserved|portions copyright)[^\n]*$"
-# In the SQL twin any line that begins so is one; here it needs a year, a sign or a holder, as licences go on about
-# "copyright notices" at starts of lines, too. \x0e stands for the sign; what says the licence on such a line stays.
+# A statement of whose work it is begins a line with one of these. \x0e stands for the sign. As licences go on about
+# "copyright notices" at starts of lines, too, the word alone needs a year, a sign, or a holder that is none of these words.
 _NO_HOLDER = (
     "notices?|holders?|owners?|ownership|and|or|laws?|lines?|licen[cs]e[sd]?|licensing|interests?|statements?|treaty|treaties|disclaimers?|permissions?|on|in|of|is|are|was|to|if|for|from|with|that|this|as|"
     "also|those|like|more|then|including|resulting|patents?|trademarks?|doctrines?|claims?|rights?|protections?|infringements?|information|material|year|terms?|the (software|program|work|library|licensed|material)"
 )
+_LEAD = r"^[^\n\p{L}\p{N}\x0e(]*"
+_SIGNED = r"((portions )?\(?copyright[ \t:,]*(\x0e|\(c\)|[\[<]|\d{4}|by\b)|\x0e|\(c\)[ \t]*(\d{4}|copyright)|all rights reserved)"
+_NAMED = rf"(portions )?\(?copyright[ \t]+(?!({_NO_HOLDER})\b)[\p{{L}}\p{{N}}]"
+COPYRIGHT_STATEMENT = rf"(?m){_LEAD}({_SIGNED}|{_NAMED})"
+# What a statement may say besides years and holders: a licence, which is kept, or terms, which make the line more than a statement.
 _LICENCE_SAID = (
     r"\b(licen[cs]ed (under|to)\b|(released|distributed|available|provided) under\b|this (work|file|software|program|code) is\b|spdx-licen[cs]e-identifier|licen[cs]e:|"
     r"permission (is|to)\b|everyone is permitted\b|redistributions? \b|use of this\b|the software is\b|see (the )?(file )?licen[cs]e)"
 )
-COPYRIGHT_STATEMENT = (
-    rf"(?m)^[^\na-z0-9\x0e(]*((portions )?\(?copyright([ \t:,]*(\x0e|\(c\)|[\[<]|\d{{4}}|by\b)|[ \t]+(?!({_NO_HOLDER})\b)[a-z0-9])|\x0e|\(c\)[ \t]*(\d{{4}}|copyright)|all rights reserved)"
-    rf"[^\n]*?(?=$|{_LICENCE_SAID})"
+_TERMS = (
+    r"\b(us(e|es|ed|age|ing)|commercial|forbidden|prohibited|permi(t|ts|tted|ssion|ssions)|allowed|may|must|shall|not|only|without|unless|except|provided|distribut\w*|redistribut\w*|modif\w*|cop(y|ies|ied|ying)|sell|sold|"
+    r"fees?|pay|paid|require[sd]?|evaluation|restrict\w*|subject|agree\w*|terms|conditions|licen[cs]\w*)\b"
 )
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -106,20 +110,24 @@ NAMES = {
 }
 SENTENCES = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "Distributed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This work is licensed under a {}", "This file is licensed under the {}", "SPDX-License-Identifier: {}", "License: {}"]
 
-_NOT_ASCII, _MARKS, _BLANK = r"[^\x00-\x7F]", r"[^a-z0-9\n]+", r"(?m)^ +| +$"
-
-
+_MARKS, _BLANK = r"[^\p{L}\p{M}\p{N}\n]+", r"(?m)^ +| +$"
 # The spellings wherever a text is wrapped: a blank may be the end of a line and what the next one begins with.
-_WRAPPED = [(re.sub(r" (\??)", lambda m: r"([ \t]+|[ \t]*\n[^a-z0-9]*)".replace("(", "(?:") + m[1], pattern), by) for pattern, by in SPELLINGS]
+_WRAPPED = [(re.sub(r" (\??)", lambda m: r"([ \t]+|[ \t]*\n[^\p{L}\p{N}]*)".replace("(", "(?:") + m[1], pattern), by) for pattern, by in SPELLINGS]
+# A statement goes as far as what it says of a licence, and to the end of its line if it says no more than whose work it is;
+# any other line stays as it is.
+_ENDED = rf"{COPYRIGHT_STATEMENT}[^\n]*?(?={_LICENCE_SAID})"
+_WHOLE = rf"{COPYRIGHT_STATEMENT}(?![^\n]*{_TERMS})[^\n]*"
 
 
 def canonical_text(text: str) -> str:
-    """The canonical form: lower case, no copyright statements, one spelling, no punctuation; lines stay apart."""
-    out = re.sub(_NOT_ASCII, " ", text.replace("\x0e", " ").replace("©", "\x0e").replace("\r", "\n").replace("’", "'")).lower()
-    out = re.sub(COPYRIGHT_STATEMENT, "", out).replace("\x0e", "(c)")
+    """The canonical form: lower case, no copyright statements, one spelling, no punctuation; letters of all scripts and lines stay."""
+    out = text.replace("\x0e", " ").replace("©", "\x0e").replace("\r", "\n").replace("’", "'").lower()
+    for pattern in (_ENDED, _WHOLE):
+        out = regex.sub(pattern, "", out)
+    out = out.replace("\x0e", "(c)")
     for pattern, by in _WRAPPED:
-        out = re.sub(pattern, by, out)
-    return re.sub(_BLANK, "", re.sub(_MARKS, " ", out))
+        out = regex.sub(pattern, by, out)
+    return regex.sub(_BLANK, "", regex.sub(_MARKS, " ", out))
 
 
 def _joined(text: str) -> str:
@@ -127,15 +135,17 @@ def _joined(text: str) -> str:
 
 
 def known_digests() -> dict[str, str]:
-    """Licence by digest of the canonical form of each of KNOWN_TEXTS and each notice, as the SQL twin has them."""
+    """Licence by digest of the canonical form of each of KNOWN_TEXTS and each notice."""
     texts = KNOWN_TEXTS + [(spdx, s.format(name)) for spdx, names in NAMES.items() for name in names for s in SENTENCES]
     return {hashlib.md5(_joined(t).encode()).hexdigest(): spdx for spdx, t in texts}
 
 
 def canonical(text: Column) -> Column:
     """``canonical_text`` as an expression."""
-    out = F.lower(F.regexp_replace(F.translate(text, "\x0e©\r’", " \x0e\n'"), _NOT_ASCII, " "))
-    out = F.replace(F.regexp_replace(out, COPYRIGHT_STATEMENT, ""), F.lit("\x0e"), F.lit("(c)"))
+    out = F.lower(F.translate(text, "\x0e©\r’", " \x0e\n'"))
+    for pattern in (_ENDED, _WHOLE):
+        out = F.regexp_replace(out, pattern, "")
+    out = F.replace(out, F.lit("\x0e"), F.lit("(c)"))
     for pattern, by in _WRAPPED:
         out = F.regexp_replace(out, pattern, by.replace(r"\1", "$1"))
     return F.regexp_replace(F.regexp_replace(out, _MARKS, " "), _BLANK, "")
@@ -186,18 +196,26 @@ def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """``scanned`` of documents in DuckDB's SQL, notices joined by commas."""
+    """``scanned`` of documents in DuckDB's SQL, notices joined by commas. Copyright lines are told line by line there."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    form = "lower(regexp_replace(translate(replace(coalesce(text, ''), '©', '(c)'), chr(13) || '’', chr(10) || ''''), '[^\\x00-\\x7F]', ' ', 'g'))"
-    steps = [(COPYRIGHT_LINE, ""), *SPELLINGS, (_MARKS, " "), (_BLANK, "")]
-    for pattern, by in steps:
+    matches = lambda x, *pattern: f"regexp_matches({x}, {quoted(''.join(pattern))})"
+    text = "lower(translate(replace(replace(coalesce(text, ''), chr(14), ' '), '©', chr(14)), chr(13) || '’', chr(10) || chr(39)))"
+    # There is no look-ahead: whether the word behind is a holder, and what the line says, is asked apart.
+    named = r"(portions )?\(?copyright[ \t]+"
+    states = f"({matches('x', _LEAD, _SIGNED)} OR ({matches('x', _LEAD, named, r'[\p{L}\p{N}]')} AND NOT {matches('x', _LEAD, named, '(', _NO_HOLDER, ')', chr(92) + 'b')}))"
+    said = f"regexp_extract(x, {quoted('.*?(' + _LICENCE_SAID + '.*)$')}, 1)"
+    behind = f"regexp_replace(x, {quoted(_LEAD + '(' + _SIGNED + '|' + named + ')')}, '')"
+    line = f"CASE WHEN NOT {states} THEN x WHEN {said} <> '' THEN {said} WHEN NOT {matches(behind, _TERMS)} THEN '' ELSE x END"
+    form = f"replace(array_to_string(list_transform(string_split({text}, chr(10)), lambda x: {line}), chr(10)), chr(14), '(c)')"
+    for pattern, by in [*_WRAPPED, (_MARKS, " "), (_BLANK, "")]:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(by)}, 'g')"
-    known = ", ".join(f"({quoted(d)}, {quoted(x)})" for d, x in known_digests().items())
+    known = {hashlib.md5(_joined(t).encode()).hexdigest(): spdx for spdx, t in full_texts()} | known_digests()
+    values = ", ".join(f"({quoted(d)}, {quoted(x)})" for d, x in known.items())
     return f"""
-        WITH known(digest, license) AS (VALUES {known}),
+        WITH known(digest, license) AS (VALUES {values}),
         d AS (SELECT row_number() OVER () AS row, doc_id, {form} AS form FROM documents),
         whole AS (SELECT row, doc_id, form, md5(trim(regexp_replace(form, '\\s+', ' ', 'g'))) AS digest FROM d),
-        lines AS (SELECT row, md5(unnest(string_split(form, chr(10)))) AS digest FROM d WHERE contains(form, 'license')),
+        lines AS (SELECT row, md5(unnest(string_split(form, chr(10)))) AS digest FROM d),
         notices AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) GROUP BY row)
         SELECT doc_id, whole.digest, license, coalesce(notices, '') AS notices
         FROM whole LEFT JOIN known USING (digest) LEFT JOIN notices USING (row)"""

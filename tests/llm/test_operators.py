@@ -459,12 +459,69 @@ def test_benchmark_passages_are_found(spark, sf):
     assert {x for x in wanted if x[0] % 3 != 1} <= found
 
 
+def brute_contaminated(texts, items, rules=Rules()):
+    """(document, item) by the rules alone: every window of every document against every item, no retrieval before."""
+    from quern.llm.decontaminate import STEP, WINDOW, _numbers, answer_words
+
+    out = set()
+    for item, text in items.items():
+        x, n_answer = _numbers(text), answer_words(text)
+        count = collections.Counter(x.tolist())
+        slack, size = STEP + len(x) // 4, max(len(x), STEP * WINDOW)
+        for d, t in enumerate(texts):
+            y = _numbers(t or "")
+            for start in range(-len(x), len(y), STEP // 2):
+                span = y[max(0, start - slack) : max(0, start + size + slack)]
+                there = set(span.tolist())
+                if not len(x) or sum(n for w, n in count.items() if w in there) < rules.paraphrase * len(x):
+                    continue
+                lcs = common_subsequence(x, span) / len(x)
+                if lcs >= rules.paraphrase and (lcs >= rules.near_verbatim or common_subsequence(x[len(x) - n_answer :], span) / n_answer >= rules.answer):
+                    out.add((d, item))
+                    break
+    return out
+
+
+def paraphrases(items, words, rates, seed=8):
+    """Items among other words, with a share of their words replaced (the answer's last ones stay)."""
+    r, texts = random.Random(seed), []
+    for i, text in enumerate(items.values()):
+        own, rate = text.split(), rates[i % len(rates)]
+        for j in r.sample(range(max(1, len(own) - 6)), round(rate * (len(own) - 6)) if len(own) > 6 else 0):
+            own[j] = r.choice(words)
+        texts.append(" ".join([*r.choices(words, k=r.randint(0, 120)), *own, *r.choices(words, k=r.randint(0, 120))]))
+    return texts
+
+
+def test_retrieval_loses_little_of_an_exhaustive_search(spark, sf):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    plain = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    words = [w for t in plain for w in t.split()]
+    texts = paraphrases(items, words, (0.0, 0.1, 0.2, 0.3, 0.38)) + [t[:1500] for t in plain]
+    wanted = brute_contaminated(texts, items)
+    found = {(x.doc_id, x.item_id) for x in contaminated(docs(spark, texts), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert len(wanted) >= 30 and len(found & wanted) >= 0.9 * len(wanted)
+    assert found <= wanted
+
+
 def test_contamination_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "a question about a thing. the answer is so.", 0), (2, None, 0), (3, "", 0)], "item_id long, text string, cosine int")
     assert contaminated(docs(spark, ["a"]).where("false"), bench).count() == 0
     assert contaminated(docs(spark, ["a b c", None]), bench.where("false")).count() == 0
     found = contaminated(docs(spark, ["see: A question about a thing? The answer is so!", "x", None]), bench, Rules()).collect()
     assert [(r.doc_id, r.item_id, r.lcs) for r in found] == [(0, 1, 1.0)]
+    for id_type, item_type in (("smallint", "decimal(9,0)"), ("binary", "string"), ("date", "tinyint")):
+        d = docs(spark, ["see: A question about a thing? The answer is so!"])
+        d = d.withColumn("doc_id", F.lit("2024-01-01").cast(id_type) if id_type == "date" else F.lit("7").cast(id_type))
+        assert contaminated(d, bench.withColumn("item_id", F.col("item_id").cast(item_type))).count() == 1
+
+
+def test_contamination_by_a_benchmark_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr("quern.llm.decontaminate.MAX_ITEMS", 2)
+    items = [f"item number {w} asks about the {w} of {w}s in a {w} town. it is {w} {w}." for w in ("alder", "birch", "cedar", "dogwood", "elm")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = contaminated(docs(spark, [f"before that {t} and after" for t in items]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= {(i, i) for i in range(5)}
 
 
 def test_contamination_of_tiny_tables_and_items_without_a_last_sentence(spark):
@@ -516,6 +573,34 @@ def test_wrapped_licences_and_copyright_statements(spark):
     assert all(got[i].digest == hashlib.md5(licenses._joined(t).encode()).hexdigest() for i, (_, t) in enumerate(texts + said))
 
 
+def test_what_is_said_beside_a_licence_counts(spark):
+    mit = dict(licenses.KNOWN_TEXTS[:1])["MIT"]
+    no = [
+        mit + "\n\n本软件不得用于商业用途。", "Коммерческое использование запрещено.\n\n" + mit, mit + "\n\nΧωρίς άδεια.", "Copyright 2020 X, all commercial use forbidden\n\n" + mit,
+        "Copyright (c) 2020 X. You may not distribute this.\n\n" + mit, mit + "\nCopyright 2021 Y. Use requires a fee.", "(c) 2020 X, for evaluation only\n\n" + mit, mit.replace("sell", "not sell"),
+    ]
+    yes = ["Copyright (c) 2020-2023 Jürgen Müller, Ørsted & Søn A/S\n\n" + mit, "© 2019 株式会社サンプル\n\n" + mit, "Copyright 2001 by The Regents of the University of Somewhere.  All rights reserved.\n" + mit, "Copyright © 2020 X <x@y.org>, https://x.org\n" + mit]
+    got = rows(licenses.scanned(docs(spark, no + yes)))
+    assert [got[i].license for i in range(len(no))] == [None] * len(no)
+    assert [got[len(no) + i].license for i in range(len(yes))] == ["MIT"] * len(yes)
+    assert licenses.canonical_text("É—é 本 ①") == "é é 本 ①"
+
+
+def test_licence_sql_on_documents_that_are_licences(spark, tmp_path):
+    """The twin on a table in which licences occur, whole and as lines, and what only looks like one."""
+    import duckdb
+
+    mit = dict(licenses.KNOWN_TEXTS[:1])["MIT"]
+    texts = [t for _, t in licenses.KNOWN_TEXTS] + ["Copyright (c) 2020 Someone\n\n" + mit, "Copyright 2020 X, no commercial use\n" + mit, mit + "\n本软件", "a story\nReleased under MIT\nthe end", "Copyright 2020 X. Released under the MIT License.", None, "", "copyright law is long\nstory"]
+    docs(spark, texts).select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(map(repr, c.execute(licenses.oracle_sql()).fetchall()))
+    got = licenses.scanned(spark.read.parquet(str(tmp_path / "d"))).withColumn("notices", F.array_join("notices", ","))
+    assert sorted(repr(tuple(r)) for r in got.select("doc_id", "digest", "license", "notices").collect()) == want
+    assert sum("'MIT'" in x for x in want) >= 5
+
+
 def test_full_licence_texts_and_further_ones(spark):
     full = licenses.full_texts()
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "MIT", "Zlib"} <= {spdx for spdx, _ in full}
