@@ -43,11 +43,12 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 def deduplicated(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, in one shuffle of each text.
 
-    Rows that are equal in id and text are one row; otherwise as ``exact_duplicates``.
+    Rows that are equal in id and text are one row: of their other columns, the one whose hash is least (or greatest) stays. Otherwise as ``exact_duplicates``.
     """
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     best = {"smallest": F.min_by, "largest": F.max_by}[keep]
     whole = F.struct(*docs.columns)
     # A null id must win only where there is no other.
-    order = F.struct((F.col("doc_id").isNull() == F.lit(keep == "smallest")).alias("last"), "doc_id")
+    others = [F.col(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    order = F.struct((F.col("doc_id").isNull() == F.lit(keep == "smallest")).alias("last"), "doc_id", F.xxhash64(F.lit(1), "text", *others).alias("rest"))
     return docs.groupBy(F.md5(norm), norm).agg(best(whole, order).alias("row")).select("row.*")

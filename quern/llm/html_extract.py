@@ -13,7 +13,7 @@ from .labelled_pages import labelled_page
 from .tree_model import TreeModel, fit
 
 #: Labelled pages the model is fitted on.
-TRAINING_PAGES = 200
+TRAINING_PAGES = 220
 
 
 def states(page: Page) -> list[int]:

@@ -51,6 +51,14 @@ def _content(r: random.Random) -> str:
     return "".join(parts)
 
 
+def _small_content(r: random.Random) -> str:
+    """An article of a few paragraphs, with or without a heading and with or without sentences."""
+    parts = [f"<h{r.choice('112')}>{_sentence(r, 1, 6)}</h1>"] if r.random() < 0.4 else []
+    for _ in range(r.choice([1, 1, 1, 2, 3])):
+        parts.append(f"<p>{_prose(r, 1, 4) if r.random() < 0.7 else ' '.join(r.choices(_WORDS, k=r.choice([2, 6, 20, 80, 300])))}</p>")
+    return "".join(parts)
+
+
 def _junk(r: random.Random, n: int) -> list[str]:
     """Parts that aren't content."""
     makers = [
@@ -82,7 +90,12 @@ def labelled_page(seed: int) -> str:
     """One page; pages of different seeds differ in parts, nesting and order."""
     r = random.Random(seed)
     zero = lambda parts: "".join(p.replace(">", ' data-label="0">', 1) for p in parts)
-    inner = [_content(r)]
+    small = r.random() < 0.3
+    inner = [_small_content(r) if small else _content(r)]
+    if small and r.random() < 0.5:
+        tag = r.choice(["article", "article", "main", "div", "section", "body"])
+        edges = [zero(_junk(r, r.choice([0, 0, 1]))) for _ in range(2)]
+        return f'<body>{edges[0]}<{tag} data-label="1">{inner[0]}</{tag}>{edges[1]}' if tag != "body" else f'<body data-label="1">{inner[0]}</body>'
     for part in _junk(r, r.choice([0, 0, 1, 1, 2])):
         inner.insert(r.randint(0, len(inner)), zero([part]))
     if r.random() < 0.25:

@@ -11,13 +11,13 @@ Whole copies of an earlier document, all of whose suffixes are ties, are told ap
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import documents, written
+from .common import documents, scratch_table, written
 
 #: Bytes of text in a block and of names in a bucket, about; both bound what a task holds at once.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
@@ -25,14 +25,30 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
 NOTE = "block long, kind string, number long, data binary"
 
 
+def _bounds(rows: DataFrame, block_bytes: int) -> list[int]:
+    """Last ids of blocks of about ``block_bytes`` of consecutive documents: 8 bytes for each block reach the driver."""
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = 0
+        for batch in batches:
+            ends = held + np.cumsum(batch.column(1).to_numpy())
+            full = ends // block_bytes
+            last = np.flatnonzero(np.diff(full, prepend=held // block_bytes) > 0)
+            held = int(ends[-1]) if len(ends) else held
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(last))], ["doc_id"])
+
+    return [r["doc_id"] for r in sizes.mapInArrow(cut, "doc_id long").collect()]
+
+
 def _blocks(docs: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
     """Documents with the number of their block, in a table bucketed by it; notes of copies; all bytes of text."""
     spark, rows = docs.sparkSession, documents(docs).select(F.col("doc_id").cast("long"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    # One bound per block: 8 bytes for each block_bytes of text.
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    shared = spark.sparkContext.broadcast(np.unique(np.array(bounds or [], np.int64)))
+    bounds = _bounds(rows, block_bytes) if total > block_bytes else []
+    shared = spark.sparkContext.broadcast(np.unique(np.array(bounds, np.int64)))
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -42,14 +58,13 @@ def _blocks(docs: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame,
             yield batch.append_column("block", pa.array(np.searchsorted(shared.value, ids, side="left")))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"quern_{uuid.uuid4().hex}"
     # Later passes join by block without moving the texts again.
     placed = rows.mapInArrow(place, "doc_id long, text string, block long")
-    placed.repartition(partitions, "block").sortWithinPartitions("block").write.bucketBy(partitions, "block").sortBy("block").option("compression", "zstd").saveAsTable(table)
-    hashes = rows.where(F.octet_length("text") >= length).select("doc_id", F.unhex(F.md5("text")).alias("data"))
-    first = hashes.groupBy("data").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    table = scratch_table(placed.repartition(partitions, "block").sortWithinPartitions("block"), "block", partitions)
+    hashes = rows.where(F.octet_length("text") >= length).select("doc_id", F.unhex(F.sha2("text", 256)).alias("data"))
+    first = written(hashes.groupBy("data").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = hashes.join(first, "data").where("doc_id > first").select("doc_id", "data").distinct().mapInArrow(place, "doc_id long, data binary, block long")
-    return spark.table(table), copies.select("block", F.lit("copy").alias("kind"), F.col("doc_id").alias("number"), "data"), total
+    return table, copies.select("block", F.lit("copy").alias("kind"), F.col("doc_id").alias("number"), "data"), total
 
 
 def _block(texts, notes, length: int):
@@ -62,7 +77,7 @@ def _block(texts, notes, length: int):
     raw = [t.encode() for t in texts.text]
     known = {(n, d) for n, d in zip(notes.number[notes.kind == "copy"], notes.data[notes.kind == "copy"])}
     ids = {n for n, _ in known}
-    copy = [i in ids and (i, hashlib.md5(t).digest()) in known for i, t in zip(texts.doc_id, raw)]
+    copy = [i in ids and (i, hashlib.sha256(t).digest()) in known for i, t in zip(texts.doc_id, raw)]
     return texts.doc_id, raw, copy, Block([t for t, c in zip(raw, copy) if not c], length)
 
 
@@ -109,13 +124,25 @@ def _unmasked(notes, name: str, what: np.ndarray, bits: int) -> np.ndarray:
 
 
 def repeats_removed(docs: DataFrame, length: int = 100, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``_removed`` for ids of any type with an order: others than whole numbers are numbered in their order first, which moves the texts once more."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return _removed(docs, length, block_bytes, bucket_bytes).withColumn("doc_id", F.col("doc_id").cast(kind))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = written(ids.withColumn("number", F.monotonically_increasing_id()))
+    plain = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.col("number").alias("doc_id"), "text")
+    out = _removed(plain, length, block_bytes, bucket_bytes).withColumnRenamed("doc_id", "number")
+    return out.join(ids, "number", "left").select("doc_id", *[c for c in out.columns if c != "number"])
+
+
+def _removed(docs: DataFrame, length: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
     Removes each byte covered by a string of ``length`` UTF-8 bytes that also starts earlier: in a
     document of smaller id, or earlier in the same. Overlaps count; strings are judged on the input and
     never cross documents. Null texts are empty; rows of equal id are ordered by text, a null id comes
     first; shorter texts stay as they are; an empty table gives no rows. Strings are told apart by 64-bit
-    names, so two different ones are taken for equal with a chance of 2**-64 for each pair compared.
+    names (polynomials modulo 2^64), which two different ones rarely share; copies of whole texts by SHA-256.
     """
     from .suffix_names import cover, distinct
 

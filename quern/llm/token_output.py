@@ -20,9 +20,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents
+from .common import arrow_type, documents
 
-CHUNK_SCHEMA = "part int, chunk int, start long, doc_ids array<long>, n_tokens array<long>, payload binary"
+CHUNK_SCHEMA = "part int, chunk int, start long, doc_ids array<{key}>, n_tokens array<long>, payload binary"
 #: Ids after which a chunk is closed; a longer document has a chunk of its own.
 CHUNK_IDS = 1 << 18
 
@@ -30,10 +30,11 @@ CHUNK_IDS = 1 << 18
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Encodes every whole text (null: empty), adds ``end_id`` to each and writes the files to ``path``.
 
-    Rows of an equal doc_id keep one order, by text; a null doc_id comes first; an empty table gives no
-    chunks. One shuffle, by ranges of doc_id; a task holds one batch of rows and one chunk.
+    Ids are of any type with an order. Rows of an equal doc_id keep one order, by text; a null doc_id comes
+    first; an empty table gives no chunks. One shuffle, by ranges of doc_id; a task holds one batch of rows and one chunk.
     """
-    spread = documents(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spread = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    key_type = arrow_type(spread, "doc_id")
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
@@ -53,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids = np.frombuffer(b"".join(parts), "<u4")
             row = {"part": [part], "chunk": [chunk], "start": [start], "doc_ids": [keys], "n_tokens": [[len(x) // 4 for x in parts]], "payload": [simple8b.pack(ids)]}
             chunk, start, keys, parts = chunk + 1, start + len(ids), [], []
-            types = (("part", pa.int32()), ("chunk", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("payload", pa.binary()))
+            types = (("part", pa.int32()), ("chunk", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(key_type)), ("n_tokens", pa.list_(pa.int64())), ("payload", pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in types], [k for k, _ in types])
 
         size = 0
@@ -68,12 +69,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if keys:
             yield close()
 
-    spread.mapInArrow(encode, CHUNK_SCHEMA).write.parquet(path)
+    spread.mapInArrow(encode, CHUNK_SCHEMA.format(key=spread.schema["doc_id"].dataType.simpleString())).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and its place (part, chunk)."""
-    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    chunks = spark.read.parquet(path)
+    ids = chunks.select(F.explode("doc_ids").alias("doc_id"))
+    key, key_type = ids.schema["doc_id"].dataType.simpleString(), arrow_type(ids, "doc_id")
     sizes = chunks.select("part", (F.col("start") + F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("end")).groupBy("part").agg(F.max("end").alias("size"))
     # One row for each task that wrote: a bounded window and a join side that grows with tasks, not with rows.
     base = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
@@ -92,8 +95,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(begins + (row["base"] + row["start"])), pa.array(row["n_tokens"], pa.int64()), pa.array(crc, pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["chunk"]] * n, pa.int32())],
+                    [pa.array(row["doc_ids"], key_type), pa.array(begins + (row["base"] + row["start"])), pa.array(row["n_tokens"], pa.int64()), pa.array(crc, pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["chunk"]] * n, pa.int32())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "part", "chunk"],
                 )
 
-    return chunks.join(F.broadcast(base), "part").select("part", "chunk", "start", "doc_ids", "n_tokens", "payload", "base").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, chunk int")
+    return chunks.join(F.broadcast(base), "part").select("part", "chunk", "start", "doc_ids", "n_tokens", "payload", "base").mapInArrow(decode, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, part int, chunk int")
