@@ -150,8 +150,8 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     classes = written(near_classes(docs, threshold, width))
     rows = docs.where("doc_id is not null").select("doc_id", content().alias("content"))
     dropped = rows.join(classes, "content").where("not first or doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
-    same = (docs["doc_id"] == F.col("_id")) & (content() == F.col("_content"))
-    return docs.join(written(dropped), same, "left_anti")
+    dropped = written(dropped)
+    return docs.join(dropped, (docs["doc_id"] == dropped["_id"]) & (content() == dropped["_content"]), "left_anti")
 
 
 def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:

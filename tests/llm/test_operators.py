@@ -724,6 +724,20 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, result.fetchall()))
 
 
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    from quern.llm import common
+
+    mark = common.scratch_mark()
+    df = common.written(spark.range(3))
+    table = common.scratch_table(spark.range(4).withColumnRenamed("id", "k").repartition(2, "k"), "k", 2)
+    path, name = common._SCRATCH[mark], common._SCRATCH[mark + 1].removeprefix("table ")
+    assert (df.count(), table.count()) == (3, 4) and spark.catalog.tableExists(name)
+    common.remove_scratch(spark, mark)
+    assert not spark.catalog.tableExists(name) and not os.path.exists(path.removeprefix("file:"))
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
@@ -750,3 +764,25 @@ def test_pipeline_stages(spark, sf):
     assert not any(holds(t) for t in ids[4].values())
     assert all(holds(ids[3][i]) for i in ids[3].keys() - ids[4].keys())
     assert {r.doc_id for r in cp.run(spark, sf).collect()} == set(ids[4])
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeated ids, other columns and empty tables, stage by stage and in a whole run."""
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    plain = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(8).collect()]
+    base = near_copies(1)[0]
+    d = spark.createDataFrame(
+        [(1, f"before {item} after", "a"), (1, base, "b"), (2, base + " tail", "c"), (None, plain[0], "d"), (3, None, "e"), (3, "", "f"), (4, plain[1], "g"), (4, plain[1], "g")],
+        "doc_id long, text string, content string",
+    ).withColumns({"_id": F.lit(1), "block": F.lit("x"), "words": F.lit(2.0)})
+    kept = lambda df: sorted((r.content for r in df.collect()))
+    assert kept(cp.decontamination(spark, d, sf)) == ["b", "c", "d", "e", "f", "g", "g"]
+    assert kept(cp.near_dedup(spark, d, sf)) == ["a", "b", "d", "e", "f", "g", "g"]
+    assert kept(cp.exact_dedup(spark, d, sf)) in (["a", "b", "c", "d", "e", "g"], ["a", "b", "c", "d", "f", "g"])
+    assert {r.doc_id for r in cp.packing(spark, d, sf).collect()} == {None, 1, 2, 3, 4}
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, d, sf).columns == d.columns
+        assert stage(spark, d.where("false"), sf).count() == 0
+    assert cp.packing(spark, d.where("false"), sf).count() == 0
