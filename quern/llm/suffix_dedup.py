@@ -26,19 +26,24 @@ NOTE = "block long, kind string, number long, data binary"
 
 
 def _bounds(rows: DataFrame, block_bytes: int) -> list[int]:
-    """Last ids of blocks of about ``block_bytes`` of consecutive documents: 8 bytes for each block reach the driver."""
+    """Last ids of blocks of at most about ``block_bytes`` of consecutive documents: 8 bytes for each block reach the driver."""
     sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = 0
+        held, rest = 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ends = held + np.cumsum(batch.column(1).to_numpy())
             full = ends // block_bytes
             last = np.flatnonzero(np.diff(full, prepend=held // block_bytes) > 0)
-            held = int(ends[-1]) if len(ends) else held
+            held, rest = int(ends[-1]), batch.column(0).slice(batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(last))], ["doc_id"])
+        if rest is not None:
+            # What is left of a range is a block of its own: ranges may be many and small.
+            yield pa.RecordBatch.from_arrays([rest], ["doc_id"])
 
     return [r["doc_id"] for r in sizes.mapInArrow(cut, "doc_id long").collect()]
 
