@@ -218,7 +218,7 @@ def test_journal_files(spark, tmp_path, encode):
 
 
 def test_json_lines_of_others(spark):
-    """Lines as the reference's serializer writes them: names, times, escapes and the checksum over the line with a null in its place."""
+    """Lines of the wire format: names, times, escapes and the checksum over the line with a null in its place."""
     first = (
         '{"schemaVersion":1,"eventId":"e1","tenantId":"t","fileKey":"k","eventType":2,"occurredAtUtc":"2024-05-01T12:00:00.0000015Z","sequenceNumber":7,"payloadCrc32":null,"volumeId":"vol-1",'
         '"physicalPath":"/m/\\u0026/\\u00E9","directoryPath":null,"fileSize":5,"status":null,"processingStartTimeUtc":"2024-05-01T12:00:00Z","retryCount":null,"availableForProcessingAtUtc":null,'
