@@ -305,6 +305,20 @@ def test_volume_choice(spark):
     assert fl.volume_choice(volumes.where("false"), requests).where("volume_ids is not null").count() == 0
 
 
+def test_choice_of_many_volumes(spark):
+    n = 5000
+    volumes = spark.range(n).select(F.format_string("v%05d", "id").alias("volume_id"), (100 + F.col("id") % 7).alias("available_space"), F.lit(True).alias("is_healthy"))
+    requests = spark.createDataFrame([(t, t, s) for t, s in ((0, 0), (4999, 0), (7, 106), (8, 107))], "request_id long, ticket long, size long")
+    got = {r.request_id: r.volume_ids for r in fl.volume_choice(volumes, requests).collect()}
+    for t, size in ((0, 0), (4999, 0), (7, 106)):
+        ids = [f"v{v:05d}" for v in range(n) if 100 + v % 7 >= size]
+        i, j = t % len(ids), (t * 1103515245 + 12345) % 2**32 % len(ids)
+        j = (j + 1) % len(ids) if i == j else j
+        pair = sorted((ids[i], ids[j]), key=lambda v: -(int(v[1:]) % 7))
+        assert got[t] == pair + [v for v in ids if v not in pair]
+    assert got[8] is None
+
+
 def test_targets_of_imports(spark):
     imported = spark.createDataFrame([("/w/a.txt", 1), ("/x/a.txt", 2), ("/y/a.txt", 3), ("/w/b", 4), ("/w/a_1.txt", 5)], "path string, ordinal long")
     present = spark.createDataFrame([("/done/a.txt",), ("/done/b",), ("/other/a_1.txt",)], "path string")
