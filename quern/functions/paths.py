@@ -26,6 +26,11 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
 
 
+def parent(path: Column) -> Column:
+    """What lies before the last slash; empty without one."""
+    return F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+
+
 def extension(name: Column) -> Column:
     """From the last dot on; empty without a dot or with one at the end."""
     return F.regexp_extract(name, r"(\.[^./\\]+)$", 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.paths import extension, file_name, is_corruption_backup, is_junk, recovered_directory, stem
+from ..functions.paths import extension, file_name, is_corruption_backup, is_junk, parent, recovered_directory, stem
 from ..schema import ACTIVE
 
 
@@ -70,6 +70,16 @@ def capacity(volumes: DataFrame) -> DataFrame:
     return volumes.where("is_healthy").agg(F.coalesce(F.sum("total_capacity"), F.lit(0)).alias("total_capacity"), F.coalesce(F.sum("available_space"), F.lit(0)).alias("available_space"), F.count("*").alias("healthy_volumes"))
 
 
+def with_ancestors(directories: DataFrame, flag: str, first: int = 1) -> DataFrame:
+    """The ``directories`` (path, ``flag``) and those above them of at least ``first`` parts, once each: whether the flag holds for any below or itself.
+
+    Many files share a directory: these meet before the ones above them are written out.
+    """
+    own = directories.groupBy("path").agg(F.max(flag).alias(flag))
+    up = F.transform(F.sequence(F.lit(first), F.size(F.split("path", "/"))), lambda i: F.call_function("substring_index", F.col("path"), F.lit("/"), i))
+    return own.where(F.size(F.split("path", "/")) >= first).select(F.explode(up).alias("path"), flag).groupBy("path").agg(F.max(flag).alias(flag))
+
+
 def empty_directories(listing: DataFrame, directories: DataFrame, most_depth: int = 20) -> DataFrame:
     """Directories (path, tenant_root, sharding_depth) to delete: no file but junk is left below them.
 
@@ -77,10 +87,8 @@ def empty_directories(listing: DataFrame, directories: DataFrame, most_depth: in
     more than ``most_depth`` below the root, with all directories above it.
     """
     deep = directories.withColumn("depth", F.size(F.split("path", "/")) - F.size(F.split("tenant_root", "/")))
-    parts = F.split("path", "/")
-    above = lambda rows, last: rows.select(F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path"))
-    real = listing.where(~is_junk(file_name(F.col("path")))).where("presence <> 'missing'").select("path")
-    held = above(real, F.size(parts) - 1).unionByName(above(deep.where(F.col("depth") > most_depth), F.size(parts))).distinct()
+    real = listing.where(~is_junk(file_name(F.col("path")))).where("presence <> 'missing'").select(parent(F.col("path")).alias("path"))
+    held = with_ancestors(real.unionByName(deep.where(F.col("depth") > most_depth).select("path")).withColumn("held", F.lit(True)), "held")
     inner = deep.where((F.col("depth") > F.col("sharding_depth")) & (F.col("depth") > 0) & (F.col("depth") <= most_depth))
     return inner.join(held, "path", "left_anti").select("path")
 

@@ -660,11 +660,10 @@ def capacity_totals(v):
 """)
 def empty_directory_sweep(l):  # noqa: E741
     """Folders of all files and some without any; tenants' roots and one level of shards stay, as does what lies above a folder too deep to look at."""
-    parts = F.split("path", "/")
-    root = F.array_join(F.slice(parts, 1, 4), "/")
-    up = l.select(root.alias("tenant_root"), F.explode(F.transform(F.sequence(F.lit(4), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path"))
-    named = lambda rows, end: rows.select(root.alias("tenant_root"), F.concat(root, F.lit(end)).alias("path"))
-    dirs = up.unionByName(named(l, "/Empty")).unionByName(named(l, "/Empty/inner")).unionByName(named(l.where("presence = 'unknown'"), "/Deep" + "/x" * 20)).unionByName(named(l, "/Deep"))
+    folders = rc.with_ancestors(l.select(paths.parent(F.col("path")).alias("path"), (F.col("presence") == "unknown").alias("unknown")), "unknown", first=4)
+    below = lambda end: F.concat("path", F.lit(end))
+    added = F.array("path", below("/Empty"), below("/Empty/inner"), below("/Deep"), F.when(F.col("unknown"), below("/Deep" + "/x" * 20)))
+    dirs = folders.select(F.substring_index("path", "/", 4).alias("tenant_root"), F.explode(F.when(F.size(F.split("path", "/")) == 4, F.array_compact(added)).otherwise(F.array("path"))).alias("path"))
     return rc.empty_directories(l, dirs.distinct().withColumn("sharding_depth", F.lit(1)))
 
 

@@ -319,6 +319,16 @@ def test_choice_of_many_volumes(spark):
     assert got[8] is None
 
 
+def test_directories_meet_before_those_above_them(spark):
+    rows = [("/m/t/a/b", False), ("/m/t/a/b", True), ("/m/t/a/c", False), ("/m", False), ("x", False)]
+    df = spark.createDataFrame(rows, "path string, flag boolean")
+    got = {(r.path, r.flag) for r in rc.with_ancestors(df, "flag").collect()}
+    assert got == {("", True), ("/m", True), ("/m/t", True), ("/m/t/a", True), ("/m/t/a/b", True), ("/m/t/a/c", False), ("x", False)}
+    assert sorted(r.path for r in rc.with_ancestors(df, "flag", first=4).collect()) == ["/m/t/a", "/m/t/a/b", "/m/t/a/c"]
+    plan = rc.with_ancestors(df, "flag")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Generate")  # the explosion reads rows that have met
+
+
 def test_targets_of_imports(spark):
     imported = spark.createDataFrame([("/w/a.txt", 1), ("/x/a.txt", 2), ("/y/a.txt", 3), ("/w/b", 4), ("/w/a_1.txt", 5)], "path string, ordinal long")
     present = spark.createDataFrame([("/done/a.txt",), ("/done/b",), ("/other/a_1.txt",)], "path string")
