@@ -1,8 +1,8 @@
 """Benchmark passages in documents: latent semantic retrieval, then subsequence and answer checks.
 
 Texts become numbers of their words once, 32 bits each; their lower 16 bits are the slots of the latent
-space. Inverse document frequencies come from all documents. A distributed randomised SVD of TF-IDF passages gives a latent space, in which overlapping
-windows of every document are compared by cosine with all benchmark passages in blocks. A candidate is
+space. Inverse document frequencies come from all documents. A distributed randomised SVD of the TF-IDF
+passages of the whole benchmark gives a latent space, in which overlapping windows of every document are compared by cosine with all benchmark passages in blocks. A candidate is
 confirmed by the longest common subsequence of words, which paraphrases mostly keep, and by the answer.
 """
 
@@ -14,17 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_type, documents, written
+from .common import arrow_type, documents, slim, written
 from .words import WORD, word_hashes
 
 SLOTS = 1 << 16
 #: Words between the starts of windows, and windows' and benchmark passages' lengths in such steps.
 STEP, WINDOW = 8, 4
-#: Passages of documents that the SVD is fitted on, at most about so many; candidates are sought in all.
-MAX_FIT_PASSAGES = 20_000
 RANK, EXTRA, POWER = 96, 16, 2
-#: Tasks that hold the fitted passages: a pass brings together that many partial products of each block of slots.
+#: Tasks of a pass over the benchmark's passages at most: a pass brings together that many partial products of each block of slots.
 FIT_PARTS = 16
+#: Passages that a task multiplies at a time.
+FIT_BATCH = 1 << 10
 #: Benchmark items that a search holds at a time; a larger benchmark is searched in several passes.
 MAX_ITEMS = 5_000
 #: Columns of the thin matrix that a job multiplies: what a job broadcasts and brings back is 65,536 times as many numbers.
@@ -51,7 +51,7 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_numbers(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], [key, "words"])
 
     rows = documents(rows, key=key)
-    return rows.mapInArrow(number, f"{key} {rows.schema[key].dataType.simpleString()}, words binary")
+    return rows.mapInArrow(slim(number), f"{key} {rows.schema[key].dataType.simpleString()}, words binary")
 
 
 def _numbers(text: str) -> np.ndarray:
@@ -73,11 +73,11 @@ def inverse_frequencies(words: DataFrame) -> np.ndarray:
         for batch in batches:
             n += batch.num_rows
             for w in batch.column(0):
-                seen[np.unique(_slots(w.as_buffer()))] += 1
+                seen[_slots(w.as_buffer())] += 1  # once for each slot, however often it is named
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["slot", "n"])
 
-    counts = words.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a row per slot
+    counts = words.select("words").mapInArrow(slim(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a row per slot
     n = int(counts.n[counts.slot == -1].sum())
     df = np.zeros(SLOTS)
     there = counts[counts.slot >= 0]
@@ -94,37 +94,29 @@ def _passages(x: np.ndarray) -> list[np.ndarray]:
     return [x[s : s + size] for s in starts] if len(x) else []
 
 
-def _fitted(words: DataFrame, share: float, weight: float) -> DataFrame:
-    """A row for each passage of ``words`` that is drawn: its slots and ``weight``. Each passage is drawn for itself, by its place."""
-
-    def draw(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        for batch in batches:
-            passages = [p for w in batch.column(0) for p in _passages(_slots(w.as_buffer()))]
-            kept = [p.astype("<u2").tobytes() for p, u in zip(passages, rng.random(len(passages))) if u < share]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([weight] * len(kept), pa.float64())], ["slots", "weight"])
-
-    return words.select("words").mapInArrow(draw, "slots binary, weight double")
+def _passage_places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of ``sizes`` words that lie one after the other: where each of their ``_passages`` starts and how long it is."""
+    size, begin = STEP * WINDOW, np.cumsum(sizes) - sizes
+    full, of = sizes // size, np.arange(len(sizes))
+    owner = np.repeat(of, full)
+    start = begin[owner] + size * (np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full))
+    back, short = of[(sizes > size) & (sizes % size > 0)], of[(sizes > 0) & (sizes < size)]
+    length = np.full(len(owner) + len(back) + len(short), size)
+    length[len(owner) + len(back) :] = sizes[short]
+    return np.concatenate([start, begin[back] + sizes[back] - size, begin[short]]), length
 
 
-def latent_space(words: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """(SLOTS, rank) right singular vectors of TF-IDF passages, by power iterations of a random sketch.
 
-    The passages are those of ``items`` and about MAX_FIT_PASSAGES of the documents', each drawn for itself;
-    the items' rows weigh as much as all others together. They lie in FIT_PARTS parts: a pass
-    multiplies them with a thin matrix of slots, COLUMNS of it at a time, and sums the products by blocks
-    of slots in a shuffle; only that thin matrix, whose size doesn't depend on the data, is held by the
-    driver, which orthogonalises it in place.
+    The passages are all those of the whole benchmark, the queries of the search: a window is compared with
+    them in the space that they span, and what it has beside them doesn't count. A pass reads them
+    in FIT_PARTS tasks at most, multiplies them with a thin matrix of slots, COLUMNS of it at a time, and
+    sums the products by blocks of slots in a shuffle; only that thin matrix, whose size doesn't depend
+    on the data, is held by the driver, which orthogonalises it in place.
     """
-    spark = words.sparkSession
-    total = words.agg(F.sum(F.floor(F.octet_length("words") / (4 * STEP * WINDOW)) + 1)).first()[0] or 0
-    share = min(1.0, MAX_FIT_PASSAGES / max(1, total))
-    n_items = max(1, items.count())
-    weight = float(max(1.0, min(total, MAX_FIT_PASSAGES) / n_items))
-    rows = written(_fitted(words, share, 1.0).unionByName(_fitted(items, min(1.0, MAX_FIT_PASSAGES / n_items), weight)).repartition(FIT_PARTS))
+    spark, size = items.sparkSession, STEP * WINDOW
+    rows = items.select("words").coalesce(FIT_PARTS)
     width, block, idf32 = rank + EXTRA, 4096, idf.astype(np.float32)
     basis = np.random.default_rng(7).standard_normal((SLOTS, width), dtype=np.float32)
 
@@ -141,17 +133,24 @@ def latent_space(words: DataFrame, items: DataFrame, idf: np.ndarray, rank: int
             import pyarrow as pa
 
             q, weight = shared.value
-            held = [(np.frombuffer(p.as_buffer(), "<u2").astype(np.int64), scale) for batch in batches for p, scale in zip(batch.column(0), batch.column(1).to_pylist())]
-            if not held:
-                return
-            slot = np.concatenate([p for p, _ in held])
-            sizes = np.array([len(p) for p, _ in held])
-            starts, x = np.cumsum(sizes) - sizes, weight[slot]
-            # Both factors of a normalised row's outer product, times the row's weight.
-            x = x * np.repeat(np.array([s for _, s in held], np.float32) / np.add.reduceat(x * x, starts), sizes)
-            out = np.empty((SLOTS, n), np.float32)
-            for c in range(n):
-                out[:, c] = np.bincount(slot, x * np.repeat(np.add.reduceat(weight[slot] * q[slot, c], starts), sizes), SLOTS)
+            q, square = np.vstack([q * weight[:, None], np.zeros((1, n), np.float32)]), np.append(weight * weight, np.float32(0))  # the last slot is padding
+            out = np.zeros((SLOTS, n), np.float32)
+            for batch in batches:
+                texts = [np.frombuffer(w.as_buffer(), "<u4") for w in batch.column(0)]
+                slot = (np.concatenate([*texts, np.zeros(size, "<u4")]) & np.uint32(SLOTS - 1)).astype(np.int32)
+                start, length = _passage_places(np.array([len(x) for x in texts], np.int64))
+                for at in range(0, len(start), FIT_BATCH):
+                    some = slice(at, at + FIT_BATCH)
+                    place = slot[start[some, None] + np.arange(size)]
+                    place[np.arange(size) >= length[some, None]] = SLOTS
+                    # Both factors of a normalised row's outer product.
+                    y = q[place.ravel()].reshape(-1, size, n).sum(1) / square[place].sum(1)[:, None]
+                    there = np.flatnonzero(place.ravel() < SLOTS)
+                    there = there[np.argsort(place.ravel()[there].astype("<u2"), kind="stable")]
+                    sorted_slots = place.ravel()[there]
+                    first = np.flatnonzero(np.append(True, sorted_slots[1:] != sorted_slots[:-1]))
+                    out[sorted_slots[first]] += np.add.reduceat(y[there // size], first)
+            out *= weight[:, None]
             for b in range(0, SLOTS, block):
                 if out[b : b + block].any():
                     yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([out[b : b + block].tobytes()], pa.binary())], ["block", "part"])
@@ -161,9 +160,9 @@ def latent_space(words: DataFrame, items: DataFrame, idf: np.ndarray, rank: int
 
             return pd.DataFrame({"block": part.block[:1], "part": [sum(np.frombuffer(p, np.float32) for p in part.part).tobytes()]})
 
-        parts = rows.mapInArrow(multiply, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary").collect()
+        products = rows.mapInArrow(slim(multiply), "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary").collect()
         shared.destroy()
-        for r in parts:
+        for r in products:
             result[r["block"] : r["block"] + block] = np.frombuffer(r["part"], np.float32).reshape(-1, n)
 
     for _ in range(POWER):
@@ -220,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(),
     words = written(numbered(docs, "doc_id"))
     items = written(numbered(benchmark, "item_id"))
     idf = inverse_frequencies(words)
-    weighted = latent_space(words, items, idf, rank)
+    weighted = latent_space(items, idf, rank)
     weighted *= idf[:, None].astype(np.float32)
     texts = documents(benchmark, key="item_id").distinct()
     parts = max(1, -(-texts.count() // MAX_ITEMS))
@@ -318,4 +317,4 @@ def _searched(words: DataFrame, items: DataFrame, weighted: np.ndarray, rules: R
         if keys:
             yield found(keys, parts)
 
-    return words.mapInArrow(search, f"doc_id {key}, item_id {item_key}, cosine double, lcs double, answer double")
+    return words.mapInArrow(slim(search), f"doc_id {key}, item_id {item_key}, cosine double, lcs double, answer double")

@@ -596,6 +596,24 @@ def test_retrieval_loses_little_of_an_exhaustive_search(spark, sf):
     assert found <= wanted
 
 
+def test_latent_space_is_that_of_all_passages_of_the_benchmark(spark):
+    from quern.llm import decontaminate as dc
+
+    r = np.random.default_rng(4)
+    topics = [[f"{t}{i}" for i in range(20)] for t in ("alder", "birch", "cedar", "dogwood")]
+    texts = [" ".join(r.choice(topics[t], 45)) for t in r.choice(4, 25_000, p=(0.28, 0.26, 0.24, 0.22))] + ["alder1 birch2", "", None]
+    items = dc.numbered(docs(spark, texts), "doc_id")
+    idf = r.uniform(1, 3, dc.SLOTS)
+    space = dc.latent_space(items, idf, 4)
+    passages = [p for x in items.collect() for p in dc._passages(dc._slots(x.words))]
+    used, at = np.unique(np.concatenate(passages), return_inverse=True)
+    x, row = np.zeros((len(passages), len(used))), np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    np.add.at(x, (row, at), idf[used][at])
+    x /= np.sqrt(np.bincount(row, idf[used][at] ** 2))[:, None]
+    vectors = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :4]
+    assert abs(np.abs((vectors * space[used]).sum(0)) - 1).max() < 1e-5
+
+
 def test_contamination_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "a question about a thing. the answer is so.", 0), (2, None, 0), (3, "", 0)], "item_id long, text string, cosine int")
     assert contaminated(docs(spark, ["a"]).where("false"), bench).count() == 0
@@ -786,3 +804,19 @@ def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
         assert stage(spark, d, sf).columns == d.columns
         assert stage(spark, d.where("false"), sf).count() == 0
     assert cp.packing(spark, d.where("false"), sf).count() == 0
+
+
+def test_a_task_gives_back_what_it_held(monkeypatch):
+    import public_tokenizers
+    from quern.llm import common
+    from quern.llm.tokens import WordEncoder
+
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(True))
+    assert list(common.slim(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and done == [True]
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids = encoder.encode("Some words, other words")
+    assert encoder.words and encoder.words.units
+    encoder.forget()
+    assert not encoder.words and not encoder.words.units and not encoder.words.units.old
+    assert encoder.encode("Some words, other words") == ids
