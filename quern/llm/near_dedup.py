@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import content, documents, scratch_table, written
+from .common import content, documents, scratch_table, slim, written
 from .graph import components
 
 #: 32 bands of 7 coordinates: a pair of similarity 0.8 shares a band with probability 0.9994, one of 0.5 with 0.22.
@@ -66,7 +66,7 @@ def sketched(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = RO
             yield close(keys, cell)
 
     texts = documents(docs).where("doc_id is not null").select(content().alias("content"), "text")
-    return texts.mapInArrow(sketch, SKETCH)
+    return texts.mapInArrow(slim(sketch), SKETCH)
 
 
 def _similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -91,7 +91,7 @@ def _similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
                 keep.append(common >= threshold * (len(p) + len(q) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "cells_a", "cells_b").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "cells_a", "cells_b").mapInArrow(slim(check), "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -201,4 +201,4 @@ def _across(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
                 edges = {(odd[a]["content"], every[b]["class"]) for a, b in zip(i.tolist(), j.tolist()) if odd[a]["class"] != every[b]["class"]}
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return pairs.mapInArrow(compare, "a binary, b binary")
+    return pairs.mapInArrow(slim(compare), "a binary, b binary")

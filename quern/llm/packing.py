@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents
+from .common import documents, slim
 
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -144,11 +144,13 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, .
         if key_type is not None:
             done.extend(packer.place())
             yield flush()
+        # New words keep coming, so the cache is worth little to other tasks, and their worker would hold it through all of them.
+        encoder(tokenizer).forget()
 
     if top & (top - 1) or any(t & (t - 1) for t in tiers):
         raise ValueError("context sizes are powers of two")
     rows = documents(docs)
-    return rows.mapInArrow(pack, SCHEMA.format(key=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(slim(pack), SCHEMA.format(key=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

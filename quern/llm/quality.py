@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import documents, ship
+from .common import documents, ship, slim
 from .ngrams import SLOTS
 
 #: Labelled rows a model is fitted on at most, by hash of their ids; the rest of them aren't needed.
@@ -87,8 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], 1.0) * len(held))], ["slot", "total"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    sparse = rows.mapInArrow(features, f"doc_id {key}, label int, slots binary, shares binary")
-    models = sparse.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(train, "slot long, total double")
+    sparse = rows.mapInArrow(slim(features), f"doc_id {key}, label int, slots binary, shares binary")
+    models = sparse.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(slim(train), "slot long, total double")
     sums = models.groupBy("slot").agg(F.sum("total").alias("total")).orderBy("slot").toPandas()  # a row per slot in use at most
     weights = np.zeros(SLOTS + 1)
     there = sums[sums.slot >= 0]
@@ -115,7 +115,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))), pa.float64())], ["doc_id", "score"])
 
     key = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {key}, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(slim(score), f"doc_id {key}, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
@@ -134,4 +134,4 @@ def kept(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array([grams.dot(t.as_py() or "", w) >= least for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(slim(keep), docs.schema)

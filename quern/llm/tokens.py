@@ -71,6 +71,11 @@ class WordEncoder:
         get = self.words.__getitem__
         return b"".join([b"".join(map(get, piece.replace("\n", " ").split(" "))) for piece in pieces(text)])
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        for known in (self.words, self.words.units, self.words.units.old):
+            known.clear()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
