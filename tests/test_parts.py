@@ -1,5 +1,6 @@
 """Statistics, paths, files, quotas, watching and journal files on small frames."""
 
+import hashlib
 import random
 import zlib
 from datetime import datetime, timedelta
@@ -336,6 +337,52 @@ def test_targets_of_imports(spark):
     assert got == {"/w/a.txt": "/done/a_1.txt", "/x/a.txt": "/done/a_1_2.txt", "/y/a.txt": "/done/a_1_2_3.txt", "/w/b": "/done/b_1", "/w/a_1.txt": "/done/a_1_1.txt"}
 
 
+def _brute_targets(imported, present):
+    """One name after the other, as the watcher moves its files."""
+    taken, targets = set(present), []
+    for name in imported:
+        target, n = name, 1
+        while target in taken:
+            dot = target.rfind(".")
+            head, end = (target[:dot], target[dot:].rstrip(".")) if dot >= 0 else (target, "")
+            target, n = f"{head}_{n}{end}", n + 1
+        taken.add(target)
+        targets.append("/done/" + target)
+    return targets
+
+
+@pytest.mark.parametrize("numbers", [1_000_000, 12, 2])
+def test_targets_one_after_the_other(spark, monkeypatch, numbers):
+    monkeypatch.setattr(wt, "NUMBERS", numbers)
+    r = random.Random(3)
+    ends = ["", ".x", ".", "..", ".b.", ".b_1", ".b_1.", ".x_1", "._1", "\n"]
+    name = lambda: "".join([r.choice(["a", "", "a.b", "a_"]), *(f"_{r.choice([1, 1, 2, 2, 3, 4, 10, '01', '9' * 30])}" for _ in range(r.choice([0, 0, 1, 2, 3]))), r.choice(ends)])
+    chain = "q" + "".join(f"_{i}" for i in range(1, 9)) + ".x"
+    names = [name() for _ in range(1500)] + ["q.x"] * 40 + ["q_1.b."] * 20 + ["q.b_1"] * 20
+    r.shuffle(names)
+    present = list({name() for _ in range(60)} | {chain, "q_1_2_3_4_5_6_7_8_9_10_11.x", "q.b_1"})
+    imported = spark.createDataFrame([(f"/w/{i}/{n}", i) for i, n in enumerate(names)], "path string, ordinal long")
+    there = spark.createDataFrame([("/done/" + n,) for n in present], "path string")
+    got = {row.path: row.target_path for row in wt.import_targets(imported, there, "/done").collect()}
+    wanted = _brute_targets(names, present)
+    assert len(set(wanted)) == len(wanted)
+    assert [got[f"/w/{i}/{n}"] for i, n in enumerate(names)] == wanted
+
+
+def test_targets_of_many_of_one_name(spark):
+    n = 4000  # each going through all names before its own would be 8,000,000 names of up to 19 KB
+    imported = spark.range(n).select(F.format_string("/w/%d/a.x", "id").alias("path"), F.col("id").alias("ordinal"))
+    targets = wt.import_targets(imported, spark.createDataFrame([("/done/a_1_2.x",)], "path string"), "/done")
+    got = {r.path: (r.l, r.h) for r in targets.select("path", F.length("target_path").alias("l"), F.md5("target_path").alias("h")).collect()}
+    name = "/done/a"
+    for at, i in enumerate([0, 1, *range(3, n + 1)]):  # 2 is taken
+        name = "/done/a" + "".join(f"_{k}" for k in range(1, i + 1)) if at < 3 else f"{name}_{i}"
+        assert got[f"/w/{at}/a.x"] == (len(name) + 2, hashlib.md5(f"{name}.x".encode()).hexdigest())
+    # The names are put together after rows were dealt out anew: no task has all of a stem's.
+    plan = targets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition") < plan.index("MapInArrow")
+
+
 def test_journal_tables(spark):
     rows = spark.createDataFrame([("t", i, 10 * i) for i in range(1, 6)], "tenant_id string, sequence_number long, record_bytes long")
     placed = jn.with_offsets(rows)
