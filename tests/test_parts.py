@@ -320,6 +320,22 @@ def test_choice_of_many_volumes(spark):
     assert got[8] is None
 
 
+def test_choice_as_text(spark, monkeypatch):
+    monkeypatch.setattr(fl, "CHOSEN", 50)
+    r = random.Random(5)
+    ids = [None, *(f"v{'ä' * (v % 3)}{v}" for v in range(30)), "", "v3"]
+    volumes = spark.createDataFrame([(v, r.choice([0, 5, 10, 10, 20, 35]), r.random() < 0.9) for v in ids], "volume_id string, available_space long, is_healthy boolean")
+    requests = spark.createDataFrame([(i, r.choice([None, 0, 1, 7, i, 10**12]), r.choice([None, -1.0, 0.0, 4.5, 5.0, 5.1, 11.0, 36.0, 35.0, float(i % 40)])) for i in range(400)], "request_id long, ticket long, size double")
+    for some in (volumes, volumes.where("available_space = 35").limit(1), volumes.where("false")):
+        some = some.cache()
+        wanted = {x.request_id: x.volume_ids for x in fl.volume_choice(some, requests).collect()}
+        for separator in (",", " ö ", ""):
+            got = {x.request_id: x.volume_ids for x in fl.volume_choice(some, requests, separator).collect()}
+            assert got == {i: None if v is None else separator.join(x for x in v if x is not None) for i, v in wanted.items()}
+    # The text is cut as a whole; no array of names is made of it first.
+    assert dict(fl.volume_choice(volumes, requests, ",").dtypes)["volume_ids"] == "string"
+
+
 def test_directories_meet_before_those_above_them(spark):
     rows = [("/m/t/a/b", False), ("/m/t/a/b", True), ("/m/t/a/c", False), ("/m", False), ("x", False)]
     df = spark.createDataFrame(rows, "path string, flag boolean")
